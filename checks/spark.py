@@ -157,10 +157,8 @@ def rrf_derive_rank(spark: SparkSession, sf: str) -> DataFrame:
 def _rerank(spark: SparkSession, sf: str, missing: str) -> DataFrame:
     """Texts are known for the judged documents only."""
     known = rf.judged_corpus(texts(spark, sf), t.qrels(spark, sf))
-    asked = t.queries(spark, sf)
-    pairs = asked.count() * t.RUN_K
     run = t.dense_run(spark, sf)
-    return rf.rerank(run, asked, known, rf.token_jaccard, missing, run_rows=pairs, depth=t.RUN_K)
+    return rf.rerank(run, t.queries(spark, sf), known, rf.token_jaccard, missing, depth=t.RUN_K)
 
 
 def rerank_drop(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,11 +28,18 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
-def fits_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int | None = None) -> bool:
     """True when ``df`` is known to stay below ``limit``: from ``rows``, its proven row count, or measured."""
     return (rows * ROW_BYTES if rows is not None else measured_bytes(df)) <= limit
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
     """Hint a broadcast for a side of checked size; any other side is left to a shuffled join."""
-    return F.broadcast(df) if fits_broadcast(df, rows, limit) else df
+    return F.broadcast(df) if fits_broadcast(df, limit, rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a freshly read table out over the cores when it lies in fewer pieces than there are cores (one
+    gzip file, one row group). A table of many pieces is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -8,10 +8,10 @@ out of the mean. The textbook choices are options with their own names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.functions.ranking import with_rank
+from rankframe.functions.ranking import with_rank, written
 from rankframe.functions.scoring import discount
 from rankframe.operators.keys import unique_judgments
 
@@ -27,14 +27,21 @@ def judged_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def _ranked_gain(ranked: DataFrame, k: int | None) -> DataFrame:
-    """Discounted gain per query of ranked rows. Rows of one score share their mean discount."""
-    within = discount(F.col("rank"))
-    if k is not None:
-        within = F.when(F.col("rank") <= k, within).otherwise(F.lit(0.0))
+    """Discounted gain per query of rows with a rank. Rows of one score share their mean discount, both
+    parts of which are combined before any shuffle. With an ``ideal`` rank also the ideal gain."""
+
+    def within(rank: str) -> Column:
+        value = discount(F.col(rank))
+        return value if k is None else F.when(F.col(rank) <= k, value).otherwise(F.lit(0.0))
+
+    best = F.sum(F.col("relevance") * within("ideal")) if "ideal" in ranked.columns else F.lit(None)
     groups = ranked.groupBy("qid", "score").agg(
-        F.avg(within).alias("discount"), F.sum("relevance").alias("gain")
+        F.avg(within("rank")).alias("discount"), F.sum("relevance").alias("gain"), best.alias("best")
     )
-    return groups.groupBy("qid").agg(F.sum(F.col("gain") * F.col("discount")).alias("dcg"))
+    gains = groups.groupBy("qid").agg(
+        F.sum(F.col("gain") * F.col("discount")).alias("dcg"), F.sum("best").alias("idcg")
+    )
+    return gains if "ideal" in ranked.columns else gains.drop("idcg")
 
 
 def _level_gain(rows: DataFrame, level: str, k: int | None) -> DataFrame:
@@ -80,21 +87,27 @@ def ndcg_per_query(
             raise ValueError(f"{value!r} is not one of {allowed}")
     if missing_queries == "zero" and ideal != "all_judged":
         raise ValueError("counting missing queries needs ideal='all_judged'")
-    value = F.lit(1.0) if score_mode == "constant" else F.col(score)
+    constant = score_mode == "constant"
+    value = F.lit(1.0) if constant else F.col(score)
     judged = judged_run(run.select("qid", "docid", value.alias("score")), qrels)
-    if score_mode == "constant":
+    if not constant and ideal == "retrieved" and depth is not None:
+        both = with_rank(with_rank(judged, depth=depth), "relevance", depth=depth, name="ideal")
+        gains = _ranked_gain(both, k).filter(F.col("idcg") > 0)
+        return gains.select("qid", "dcg", "idcg", (F.col("dcg") / F.col("idcg")).alias("ndcg"))
+
+    if constant:
+        judged = written(judged)
         dcg = _level_gain(judged, "score", k)
     else:
+        judged = judged if depth is not None else written(judged)
         dcg = _ranked_gain(with_rank(judged, depth=depth), k)
     pool = judged if ideal == "retrieved" else unique_judgments(qrels)
     relevant = pool.filter(F.col("relevance") > 0)
     idcg = _level_gain(relevant, "relevance", k).withColumnRenamed("dcg", "idcg")
-
-    how = "right" if missing_queries == "zero" else "inner"
-    both = dcg.join(idcg, "qid", how)
-    if missing_queries == "exclude":
+    both = dcg.join(idcg, "qid", "right" if missing_queries == "zero" else "inner")
+    if missing_queries == "exclude" and ideal == "all_judged":
         hits = judged.filter(F.col("relevance") > 0).select("qid").distinct()
-        both = both if ideal == "retrieved" else both.join(hits, "qid", "left_semi")
+        both = both.join(hits, "qid", "left_semi")
     gained = F.coalesce("dcg", F.lit(0.0))
     return both.select("qid", gained.alias("dcg"), "idcg", (gained / F.col("idcg")).alias("ndcg"))
 

@@ -39,20 +39,16 @@ def unique_judgments(qrels: DataFrame) -> DataFrame:
     return qrels.groupBy("qid", "docid").agg(F.max("relevance").alias("relevance"))
 
 
-def _members(df: DataFrame, ids: DataFrame, rows: int | None) -> DataFrame:
+def with_ids_of(docs: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """Documents named in ``ids``. A list of checked size is broadcast, so the corpus is filtered where it
+    is read; ``rows`` is a proven bound on the list, which spares measuring it."""
     ids = ids.select("docid").distinct()
-    return df.join(broadcast_if_small(ids, rows), "docid", "left_semi")
+    return docs.join(broadcast_if_small(ids, rows=rows), "docid", "left_semi").select(*docs.columns)
 
 
 def judged_corpus(docs: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Documents with at least one judgment. A judgment list of checked size is broadcast, so the corpus
-    is filtered where it is read."""
-    return _members(docs, qrels, None)
-
-
-def with_ids_of(docs: DataFrame, run: DataFrame, rows: int | None = None) -> DataFrame:
-    """Documents named in ``run``; ``rows`` is a proven bound on the run, which spares measuring it."""
-    return _members(docs, run, rows)
+    """Documents with at least one judgment."""
+    return with_ids_of(docs, qrels)
 
 
 def available_qrels(qrels: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -7,29 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.functions.ranking import with_rank
+from rankframe.functions.ranking import shuffle_partitions, with_rank, written
 from rankframe.functions.scoring import rounded
 from rankframe.operators.keys import with_ids_of
 
 Scorer = Callable[[Column, Column], Column]
 
 
-def hydrate(
-    run: DataFrame, queries: DataFrame, docs: DataFrame, missing: str = "drop", *, run_rows: int | None = None
-) -> DataFrame:
-    """``(qid, docid, query, text)`` for each row of the run.
+def hydrate(run: DataFrame, queries: DataFrame, docs: DataFrame, missing: str = "drop") -> DataFrame:
+    """``(qid, docid, query, text)`` for each row of the run, spread evenly over the cluster.
 
     ``docs`` is ``(docid, text)``. A document without text is dropped, or kept with the empty text under
-    ``missing="blank"``. The corpus is cut to the run's documents before any of it is shuffled;
-    ``run_rows`` is a proven bound on the run (queries times k), which spares counting it.
+    ``missing="blank"``. The run is stored first, for it is needed twice: its ids cut the corpus down
+    before any of it is shuffled, and its pairs then meet the texts that are left.
     """
     if missing not in ("drop", "blank"):
         raise ValueError("missing must be 'drop' or 'blank'")
-    pairs = run.select("qid", "docid")
-    needed = with_ids_of(docs.select("docid", "text"), pairs, run_rows)
+    pairs = written(run.select("qid", "docid"))
+    needed = with_ids_of(docs.select("docid", "text"), pairs)
     texts = pairs.join(needed, "docid", "inner" if missing == "drop" else "left")
     hydrated = texts.join(queries.select("qid", "query"), "qid")
-    return hydrated.select("qid", "docid", "query", F.coalesce("text", F.lit("")).alias("text"))
+    return for_scoring(hydrated.select("qid", "docid", "query", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def for_scoring(pairs: DataFrame, *by: str) -> DataFrame:
+    """Pairs in as many partitions as a shuffle has. Few bytes can be long work for a model, and partitions
+    chosen by bytes would leave it to one task."""
+    return pairs.repartition(shuffle_partitions(pairs), *by, "qid", "docid")
 
 
 def rerank(
@@ -40,14 +44,14 @@ def rerank(
     missing: str = "drop",
     *,
     query_format: Callable[[Column], Column] | None = None,
-    run_rows: int | None = None,
     depth: int | None = None,
 ) -> DataFrame:
     """Score every candidate of the run again and rank by that score. Nothing is cut off.
 
-    ``scorer`` makes a column of (query, text): an expression or a model hook.
+    ``scorer`` makes a column of (query, text): an expression or a model hook. ``depth`` is a proven bound
+    on the run's rows per query.
     """
-    pairs = hydrate(run, queries, docs, missing, run_rows=run_rows)
+    pairs = hydrate(run, queries, docs, missing)
     query = F.col("query") if query_format is None else query_format(F.col("query"))
     scored = pairs.select("qid", "docid", rounded(scorer(query, F.col("text"))).alias("score"))
     return with_rank(scored, depth=depth)

@@ -74,7 +74,7 @@ def judged_plus_noise(docs: DataFrame, qrels: DataFrame, n: int, seed: int = 0)
     """
     judged = qrels.select("docid").distinct()
     n_judged = judged.count()
-    others = docs.select("docid").join(broadcast_if_small(judged, n_judged), "docid", "left_anti")
+    others = docs.select("docid").join(broadcast_if_small(judged, rows=n_judged), "docid", "left_anti")
     hashed = others.withColumn("_hash", seeded_hash(seed, "docid"))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, HASH_DIGITS))
     starts = hash_bucket_starts(hashed, "_hash").filter(F.col("_start") < n)

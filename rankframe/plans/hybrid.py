@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
+from rankframe.functions.ranking import written
 from rankframe.operators.evaluation import ndcg_per_query
 from rankframe.operators.fusion import rrf, weighted_fusion
 from rankframe.operators.rerank import Scorer, rerank
@@ -30,11 +31,12 @@ def hybrid_pipeline(
     depth: int | None = None,
 ) -> Hybrid:
     """``fused`` stands by itself; ``rrf`` is what gets reranked, and ``ndcg`` judges the reranked run per
-    query. ``depth`` is the k of the runs, where known; it bounds every later step."""
+    query. The runs are stored once, as both fusions read them. ``depth`` is their k, where known; it
+    bounds every later step."""
+    runs = [written(run) for run in runs]
     together = None if depth is None else depth * len(runs)
-    pairs = None if depth is None else together * queries.count()
     by_rank = rrf(runs, depth=depth)
-    reranked = rerank(by_rank, queries, docs, scorer, run_rows=pairs, depth=together)
+    reranked = rerank(by_rank, queries, docs, scorer, depth=together)
     return Hybrid(
         weighted_fusion(runs, weights, depth=depth),
         by_rank,

@@ -15,7 +15,7 @@ from rankframe.functions.text import PASSAGE_PREFIX, assemble_text, is_blank, no
 from rankframe.operators.dense import dense_search
 from rankframe.operators.encoding import embeddings_or_compute
 from rankframe.operators.keys import dedupe_by_id
-from rankframe.operators.rerank import Scorer, rerank
+from rankframe.operators.rerank import Scorer, for_scoring, rerank
 from rankframe.sources.readers import read_snapshots
 from rankframe.sources.writers import in_run_order, to_trec_lines
 
@@ -31,15 +31,14 @@ def snapshot_runs(
     its ``snapshot``. The pair is scored with the lowercased query and the unstripped text, empty where
     the document is gone.
     """
-    near = dense_search(queries, embeddings, k, by=["snapshot"]).select("snapshot", "qid", "docid")
-    pairs = queries.count() * k
+    near = written(dense_search(queries, embeddings, k, by=["snapshot"]).select("snapshot", "qid", "docid"))
     keys = near.select("snapshot", "docid").distinct()
-    needed = docs.join(broadcast_if_small(keys, pairs), ["snapshot", "docid"], "left_semi")
+    needed = docs.join(broadcast_if_small(keys), ["snapshot", "docid"], "left_semi")
     texts = needed.select("snapshot", "docid", assemble_text().alias("text"))
     asked = queries.select("snapshot", "qid", strip_prefix(normalize_query("query")).alias("query"))
     hydrated = near.join(texts, ["snapshot", "docid"], "left").join(asked, ["snapshot", "qid"])
     score = rounded(scorer(F.col("query"), F.coalesce("text", F.lit(""))))
-    scored = hydrated.select("snapshot", "qid", "docid", score.alias("score"))
+    scored = for_scoring(hydrated, "snapshot").select("snapshot", "qid", "docid", score.alias("score"))
     return with_rank(scored, by=["snapshot", "qid"], depth=k)
 
 
@@ -57,7 +56,7 @@ def rerank_from_embeddings(
     first. The scorer sees the raw query, and the empty text where a document has none."""
     order = {"tie": position, "tie_desc": True} if position else {}
     near = dense_search(queries, embeddings, k, encoder=encoder, **order)
-    return rerank(near, queries, docs, scorer, "blank", run_rows=queries.count() * k, depth=k)
+    return rerank(near, queries, docs, scorer, "blank", depth=k)
 
 
 def finished_snapshots(spark: SparkSession, out: str) -> DataFrame:
