@@ -1,5 +1,9 @@
 """Ranking runs on Spark: build them, combine them, judge them."""
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 from rankframe.functions.ranking import top_k, with_rank
 from rankframe.functions.scoring import cosine, token_jaccard
 from rankframe.functions.text import assemble_text, normalize_query, strip_prefix, tokenize
@@ -14,6 +18,9 @@ from rankframe.operators.training import judged_plus_noise, training_batches, tr
 from rankframe.plans.hybrid import hybrid_pipeline
 from rankframe.plans.snapshots import rerank_from_embeddings, run_snapshots, snapshot_runs
 
+# Task functions travel with their code, so that executors do not need the package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "Index",
     "assemble_text",

@@ -203,11 +203,11 @@ def dense_search(
         found = stored.mapInArrow(scan, schema)
     else:
         stripes = -(-needed // query_bytes)
-        cells = -(-stored.count() * size["dim"] * 8 // CELL_BYTES)
-        left = asked.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(stripes)))
+        cells = max(1, -(-stored.count() * size["dim"] * 8 // CELL_BYTES))
+        left = asked.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(stripes)).cast("int"))
         left = left.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
         right = stored.withColumn("_d", F.pmod(F.xxhash64("docid"), F.lit(cells)).cast("int"))
-        right = right.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).cast("long"))
+        right = right.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
 
         def cell(q: pa.Table, d: pa.Table) -> pa.Table:
             if not q.num_rows or not d.num_rows:

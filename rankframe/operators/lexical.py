@@ -35,8 +35,12 @@ def doc_tokens(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """Term frequency of each (document, term)."""
-    words = tokens.select("docid", "dl", F.explode("tokens").alias("term"))
+    """Term frequency of each (document, term).
+
+    The outer explode keeps the optimizer from adding a ``size(tokens) > 0`` filter, which it would push
+    down to the scan and tokenize every text a second time for.
+    """
+    words = tokens.select("docid", "dl", F.explode_outer("tokens").alias("term")).filter(F.col("term").isNotNull())
     return words.groupBy("docid", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -85,7 +89,7 @@ def inverted_index(posting_rows: DataFrame, max_list: int = 100_000) -> DataFram
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """Words of each query with how often the query repeats them."""
-    words = queries.select("qid", F.explode(tokenize("query")).alias("term"))
+    words = queries.select("qid", F.explode_outer(tokenize("query")).alias("term")).filter(F.col("term").isNotNull())
     return words.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
@@ -153,17 +157,25 @@ def bm25_search(
     return _rank(matches, hint(_weights(wanted, term_stats, totals)), k, k1, b)
 
 
+def _one_of(terms: list[str]) -> Column:
+    """``term IN (…)``, the terms in hex so that no quote or backslash matters. One parsed expression is
+    much faster to build than a column per term."""
+    if not terms:
+        return F.lit(False)
+    return F.expr("term IN ({})".format(", ".join(f"CAST(X'{t.encode().hex()}' AS STRING)" for t in terms)))
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 top-k from index tables. A short vocabulary becomes a filter that the index scan uses to skip
-    row groups; a longer one is joined."""
+    """BM25 top-k from index tables. A short vocabulary becomes a filter that the index scans use to skip
+    the row groups of other terms; a longer one is joined."""
     wanted = query_terms(queries)
     vocabulary = wanted.select("term").distinct()
     small = fits_broadcast(wanted)
     hint = F.broadcast if small else (lambda df: df)
-    listed = vocabulary.limit(PUSHED_TERMS + 1).collect() if small else []
+    listed = [row["term"] for row in vocabulary.limit(PUSHED_TERMS + 1).collect()] if small else []
     if small and len(listed) <= PUSHED_TERMS:
-        matches = index.postings.filter(F.col("term").isin([row["term"] for row in listed]))
+        matches, terms = (table.filter(_one_of(listed)) for table in (index.postings, index.terms))
     else:
-        matches = index.postings.join(hint(vocabulary), "term", "left_semi")
+        matches, terms = index.postings.join(hint(vocabulary), "term", "left_semi"), index.terms
     matches = matches.repartition("docid")
-    return _rank(matches, hint(_weights(wanted, index.terms, index.stats)), k, k1, b)
+    return _rank(matches, hint(_weights(wanted, terms, index.stats)), k, k1, b)

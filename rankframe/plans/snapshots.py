@@ -16,7 +16,7 @@ from rankframe.operators.dense import dense_search
 from rankframe.operators.encoding import embeddings_or_compute
 from rankframe.operators.keys import dedupe_by_id
 from rankframe.operators.rerank import Scorer, for_scoring, rerank
-from rankframe.sources.readers import read_snapshots
+from rankframe.sources.readers import has_snapshots, read_snapshots
 from rankframe.sources.writers import in_run_order, to_trec_lines
 
 RUN_TAG = "e5-reranked"
@@ -59,15 +59,17 @@ def rerank_from_embeddings(
     return rerank(near, queries, docs, scorer, "blank", depth=k)
 
 
-def finished_snapshots(spark: SparkSession, out: str) -> DataFrame:
-    """Snapshots that ``out`` already holds a run for."""
+def finished_snapshots(spark: SparkSession, out: str) -> list[str]:
+    """Names of the snapshot folders that ``out`` already holds a run for."""
     try:
-        stored = spark.read.schema("value string, snapshot string").text(out)
+        if not has_snapshots(spark, out):
+            return []
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "snapshot string")
-    return stored.select("snapshot").distinct()
+        return []
+    stored = spark.read.schema("value string, snapshot string").text(out)
+    return [row["snapshot"] for row in stored.select("snapshot").distinct().collect()]
 
 
 def run_snapshots(
@@ -84,10 +86,8 @@ def run_snapshots(
 ) -> None:
     """Read the snapshots under ``root``, encode what ``vectors`` lacks, search, rerank, and write gzipped
     run files under ``out/snapshot=…``. Snapshots already there are left alone with ``skip_existing``."""
-    docs, queries = read_snapshots(spark, root)
-    if skip_existing:
-        done = written(finished_snapshots(spark, out))
-        docs, queries = (df.join(broadcast_if_small(done), "snapshot", "left_anti") for df in (docs, queries))
+    done = finished_snapshots(spark, out) if skip_existing else []
+    docs, queries = read_snapshots(spark, root, skip=done)
     docs = dedupe_by_id(docs, ["snapshot", "docid"], ["file"])
     passage = assemble_text(strip_ends=True, lower=True, prefix=PASSAGE_PREFIX)
     texts = docs.filter(~is_blank(assemble_text())).select("snapshot", "docid", passage.alias("text"))

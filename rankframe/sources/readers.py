@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,14 +101,31 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _by_snapshot(rows: DataFrame, partitioned: bool, alone: str, skip: Sequence[str]) -> DataFrame:
+    """Rows with their ``snapshot``; folders in ``skip`` are not read."""
+    if not partitioned:
+        rows = rows.withColumn("snapshot", F.lit(alone))
+    return rows.filter(~F.col("snapshot").isin(list(skip))) if skip else rows
+
+
+def has_snapshots(spark: SparkSession, path: str) -> bool:
+    return "snapshot" in spark.read.text(path).columns
+
+
 def read_snapshots(
-    spark: SparkSession, root: str, *, guard: bool = True, snapshot: str = "all"
+    spark: SparkSession, root: str, *, guard: bool = True, snapshot: str = "all", skip: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and queries with a ``snapshot`` column from ``root/documents/snapshot=…/*.jsonl`` and
     ``root/queries/snapshot=…/*``. A dataset without snapshot folders is one snapshot, named ``snapshot``."""
-    name = F.coalesce("snapshot", F.lit(snapshot)).alias("snapshot")
-    lines = spark.read.schema("value string, snapshot string").option("pathGlobFilter", CORPUS_FILES)
-    lines = lines.text(f"{root}/documents").select("value", name, F.col("_metadata.file_path").alias("file"))
-    docs = parse_documents(lines, guard=guard)
-    rows = _delimited(spark, "\t").schema(f"{QUERY_SCHEMA}, snapshot string").csv(f"{root}/queries")
-    return docs, rows.select("qid", F.coalesce("query", F.lit("")).alias("query"), name)
+    folder = f"{root}/documents"
+    partitioned = has_snapshots(spark, folder)
+    lines = spark.read.option("pathGlobFilter", CORPUS_FILES)
+    lines = lines.schema("value string, snapshot string" if partitioned else "value string").text(folder)
+    lines = lines.select("*", F.col("_metadata.file_path").alias("file"))
+    docs = parse_documents(_by_snapshot(lines, partitioned, snapshot, skip), guard=guard)
+
+    folder = f"{root}/queries"
+    partitioned = has_snapshots(spark, folder)
+    schema = f"{QUERY_SCHEMA}, snapshot string" if partitioned else QUERY_SCHEMA
+    queries = _by_snapshot(_delimited(spark, "\t").schema(schema).csv(folder), partitioned, snapshot, skip)
+    return docs, queries.withColumn("query", F.coalesce("query", F.lit("")))

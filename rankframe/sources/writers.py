@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import shuffle_partitions
 from rankframe.functions.scoring import SCORE_DIGITS
-from rankframe.operators.lexical import Index
+from rankframe.operators.lexical import Index, doc_freq
 
 
 def global_order(run: DataFrame, score: str = "score") -> DataFrame:
@@ -62,11 +62,13 @@ def write_indexable(docs: DataFrame, path: str) -> None:
 
 def write_index(index: Index, path: str) -> None:
     """Index tables. Postings are laid out by term, so that a search skips the row groups of other terms;
-    a term that fills many files is split by document."""
+    a term that fills many files is split by document. The other tables are small or read from these."""
     n = shuffle_partitions(index.postings)
     laid = index.postings.repartitionByRange(n, "term", "docid").sortWithinPartitions("term", "docid")
     laid.write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    stored = laid.sparkSession.read.parquet(f"{path}/postings")
+    terms = doc_freq(stored).repartitionByRange(n, "term").sortWithinPartitions("term")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
