@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rankframe as rf
 from checks import tables as t
+from checks.round_trips import COUNTS, ROUND_TRIPS
 from rankframe.functions.text import PASSAGE_PREFIX, is_blank
 from rankframe.operators import lexical
-from rankframe.operators.encoding import encode, model_encoder
+from rankframe.operators.encoding import encode
 from rankframe.operators.evaluation import mean_metric
 from rankframe.operators.training import in_batch_negatives
 from rankframe.sources.readers import parse_documents
@@ -264,16 +264,9 @@ def hybrid_ndcg(spark: SparkSession, sf: str) -> DataFrame:
     return _six(mean_metric(_hybrid(spark, sf).ndcg), "ndcg")
 
 
-def _load_counts() -> Callable[[np.ndarray], np.ndarray]:
-    def predict(batch: np.ndarray) -> np.ndarray:
-        return np.array([[len(text), len(text.split())] for text in batch], dtype=np.float32)
-
-    return predict
-
-
 def encode_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The model hook with a stand-in that counts characters and words."""
-    vectors = encode(texts(spark, sf), model_encoder(_load_counts, batch_size=128))
+    vectors = encode(texts(spark, sf), COUNTS)
     parts = [F.col("embedding")[i].cast("long").alias(name) for i, name in enumerate(("chars", "words"))]
     return vectors.select("docid", *parts)
 
@@ -324,4 +317,4 @@ QUERIES = {
         hybrid_ndcg,
         encode_documents,
     )
-}
+} | ROUND_TRIPS

@@ -174,6 +174,10 @@ candidates as (
 scores as ({JACCARD.replace("select qid", "select snapshot, qid")} from candidates)
 {ranked("scores", "score", by="snapshot, qid")}"""
 
+COUNTED = (
+    with_(CORPUS, TEXTS) + f" select docid, length(text) chars, len({words('text')}) words from texts"
+)
+
 ORACLE = {
     "text_assembly": with_(CORPUS)
     + f"""
@@ -300,6 +304,37 @@ select qid || ' Q0 ' || docid || ' ' || "rank" || ' ' || score::decimal(38, 6) |
     + ' select qid, docid, score, "rank" from reranked',
     "hybrid_ndcg": f"with {EXPERTS},\n{RRF},\n{TEXTS},\n{reranked('rrf_run', 'texts', 'inner')},"
     + f"{ndcg('reranked')} {MEAN}",
-    "encode_documents": with_(CORPUS, TEXTS)
-    + f" select docid, length(text) chars, len({words('text')}) words from texts",
+    "encode_documents": COUNTED,
+    "embeddings_reused": COUNTED,
+    "read_corpus_files": with_(CORPUS)
+    + f" select docid::varchar docid, md5(lower({TEXT})) bm25_text from corpus",
+    "read_query_files": "select item_id::varchar qid, replace(text, chr(10), ' ') query from benchmark",
+    "read_qrels_files": with_(QRELS)
+    + " select qid::varchar qid, '0' as iter, docid::varchar docid, relevance from qrels",
+    "run_files": with_(VECTORS, dense("run", RUN_K))
+    + ' select qid::varchar qid, docid::varchar docid, score, "rank" from run',
+    "trec_files": with_(VECTORS, dense("run", RUN_K))
+    + """ select qid::varchar qid, docid::varchar docid, score, "rank", 'dense' tag from run""",
+    "embedding_files": with_(VECTORS)
+    + " select docid::varchar docid, len(v)::int dims, round(list_sum(v), 6) total from vectors",
+    "index_files": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 10))
+    + ' select qid, docid, score, "rank" from run',
+    "snapshot_files": with_(CORPUS)
+    + f""",
+queries as (select item_id qid, replace(text, chr(10), ' ') query from benchmark),
+asked as (
+  select snapshot, qid::varchar qid, lower({strip("query")}) query, 'query: ' || lower({strip("query")}) t
+  from queries join corpus on docid = qid),
+stored as (
+  select snapshot, docid::varchar docid, {TEXT} as text, 'passage: ' || lower({strip(TEXT)}) t
+  from corpus where {strip(TEXT)} <> ''),
+counted_q as (select *, [length(t), len({words("t")})]::double[] v from asked),
+counted_d as (select *, [length(t), len({words("t")})]::double[] v from stored),
+near as (
+  select q.snapshot, qid, docid, query, text, round(list_cosine_similarity(q.v, d.v), 6) near
+  from counted_q q join counted_d d using (snapshot)
+  qualify row_number() over (partition by q.snapshot, qid order by near desc, docid) <= 20),
+scores as ({JACCARD.replace("select qid", "select snapshot, qid")} from near),
+run as ({ranked("scores", "score", by="snapshot, qid")})
+select qid, docid, score, "rank", 'e5-reranked' tag from run""",
 }

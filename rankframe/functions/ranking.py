@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_TIE = "docid"
@@ -20,9 +20,9 @@ def ranking_order(score: str, tie: str = DEFAULT_TIE, tie_desc: bool = False) ->
     return [F.desc(score), F.desc(tie) if tie_desc else F.asc(tie)]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` stored in the checkpoint folder, so that every later reader sees the same rows."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share. Only a local session without one gets a
+    folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +31,12 @@ def written(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="rankframe-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` stored in the checkpoint folder, so that every later reader sees the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import with_rank, written
 from rankframe.functions.scoring import discount
-from rankframe.operators.keys import unique_judgments
+from rankframe.operators.keys import unique_judgments, with_ids_of
 
 RANKS_PER_STEP = 4096
 
@@ -135,23 +135,20 @@ def qrels_map(qrels: DataFrame, parts: int = 1) -> DataFrame:
 def coverage(docs: DataFrame, qrels: DataFrame, run: DataFrame) -> DataFrame:
     """One row of counts: judged documents, how many of them the corpus has, judgments that are usable
     with it, and pairs of the run with and without a document."""
-    ids = docs.select("docid").distinct().withColumn("known", F.lit(1))
-    judgments = (
-        qrels.groupBy("docid").agg(F.count(F.lit(1)).alias("n"))
-        .join(ids, "docid", "left")
-        .agg(
-            F.count(F.lit(1)).alias("judged_docs"),
-            F.count("known").alias("judged_docs_found"),
-            F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("qrels_kept"),
-        )
+    judged = qrels.select("docid", F.lit(1).alias("judged"), F.lit(0).alias("listed"))
+    listed = run.select("docid", F.lit(0).alias("judged"), F.lit(1).alias("listed"))
+    named = judged.unionByName(listed).groupBy("docid")
+    named = written(named.agg(F.sum("judged").alias("judged"), F.sum("listed").alias("listed")))
+    known = with_ids_of(docs.select("docid"), named).distinct().withColumn("known", F.lit(True))
+    is_judged, is_known = F.col("judged") > 0, F.col("known").isNotNull()
+
+    def total(column: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
+
+    return named.join(known, "docid", "left").agg(
+        F.count_if(is_judged).alias("judged_docs"),
+        F.count_if(is_judged & is_known).alias("judged_docs_found"),
+        total("judged", is_known).alias("qrels_kept"),
+        total("listed", is_known).alias("pairs_prepared"),
+        total("listed", ~is_known).alias("pairs_missing"),
     )
-    pairs = (
-        run.groupBy("docid").agg(F.count(F.lit(1)).alias("n"))
-        .join(ids, "docid", "left")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("pairs_prepared"),
-            F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("pairs_missing"),
-        )
-    )
-    one = F.lit(1).alias("_one")
-    return judgments.select("*", one).join(pairs.select("*", one), "_one").drop("_one")

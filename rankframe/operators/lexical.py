@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.functions.ranking import top_k
+from rankframe.functions.ranking import top_k, written
 from rankframe.functions.scoring import idf, rounded, tf_saturation
-from rankframe.functions.sizing import fits_broadcast
+from rankframe.functions.sizing import broadcast_if_small, fits_broadcast
 from rankframe.functions.text import assemble_text, tokenize
 from rankframe.operators.keys import judged_corpus
 
@@ -66,14 +66,19 @@ def build_index(docs: DataFrame, text: Column | None = None) -> Index:
     return Index(rows, doc_freq(rows), corpus_stats(tokens))
 
 
-def inverted_index(posting_rows: DataFrame, max_list: int = 100_000) -> DataFrame:
+def inverted_index(
+    posting_rows: DataFrame, terms: DataFrame | None = None, max_list: int = 100_000
+) -> DataFrame:
     """Postings as lists, ``(term, part, n_parts, postings)``, each list sorted by document.
 
     A word that stands in a third of the corpus would be one endless row, so lists longer than about
-    ``max_list`` are split over parts by a hash of the document id.
+    ``max_list`` are split over parts by a hash of the document id. ``terms`` are the document
+    frequencies, where they are stored. The few heavy words are stored and, being few, broadcast, so that
+    postings are shuffled only by term and part.
     """
-    heavy = doc_freq(posting_rows).filter(F.col("df") > max_list)
-    heavy = heavy.select("term", F.ceil(F.col("df") / F.lit(max_list)).cast("int").alias("_parts"))
+    heavy = (doc_freq(posting_rows) if terms is None else terms).filter(F.col("df") > max_list)
+    parts = F.ceil(F.col("df") / F.lit(max_list)).cast("int").alias("_parts")
+    heavy = broadcast_if_small(written(heavy.select("term", parts)))
     number = F.conv(F.substring(F.md5(F.col("docid").cast("string")), 1, 8), 16, 10).cast("long")
     parted = posting_rows.join(heavy, "term", "left").select(
         "term",

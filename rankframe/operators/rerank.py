@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import shuffle_partitions, with_rank, written
 from rankframe.functions.scoring import rounded
+from rankframe.functions.sizing import broadcast_if_small
 from rankframe.operators.keys import with_ids_of
 
 Scorer = Callable[[Column, Column], Column]
@@ -26,7 +27,7 @@ def hydrate(run: DataFrame, queries: DataFrame, docs: DataFrame, missing: str =
     pairs = written(run.select("qid", "docid"))
     needed = with_ids_of(docs.select("docid", "text"), pairs)
     texts = pairs.join(needed, "docid", "inner" if missing == "drop" else "left")
-    hydrated = texts.join(queries.select("qid", "query"), "qid")
+    hydrated = texts.join(broadcast_if_small(queries.select("qid", "query")), "qid")
     return for_scoring(hydrated.select("qid", "docid", "query", F.coalesce("text", F.lit("")).alias("text")))
 
 

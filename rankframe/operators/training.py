@@ -20,7 +20,8 @@ def training_pairs(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
     """
     wanted = positives(qrels).select("qid", "docid")
     texts = with_ids_of(docs.select("docid", "text"), wanted)
-    pairs = wanted.join(queries.select("qid", "query"), "qid").join(texts, "docid")
+    asked = broadcast_if_small(queries.select("qid", "query"))
+    pairs = wanted.join(asked, "qid").join(texts, "docid")
     return pairs.select(
         "qid",
         "docid",

@@ -16,7 +16,7 @@ from rankframe.operators.dense import dense_search
 from rankframe.operators.encoding import embeddings_or_compute
 from rankframe.operators.keys import dedupe_by_id
 from rankframe.operators.rerank import Scorer, for_scoring, rerank
-from rankframe.sources.readers import has_snapshots, read_snapshots
+from rankframe.sources.readers import CORPUS_FILES, has_snapshots, read_snapshots
 from rankframe.sources.writers import in_run_order, to_trec_lines
 
 RUN_TAG = "e5-reranked"
@@ -83,11 +83,12 @@ def run_snapshots(
     vectors: str | None = None,
     skip_existing: bool = True,
     tag: str = RUN_TAG,
+    files: str = CORPUS_FILES,
 ) -> None:
     """Read the snapshots under ``root``, encode what ``vectors`` lacks, search, rerank, and write gzipped
     run files under ``out/snapshot=…``. Snapshots already there are left alone with ``skip_existing``."""
     done = finished_snapshots(spark, out) if skip_existing else []
-    docs, queries = read_snapshots(spark, root, skip=done)
+    docs, queries = read_snapshots(spark, root, skip=done, files=files)
     docs = dedupe_by_id(docs, ["snapshot", "docid"], ["file"])
     passage = assemble_text(strip_ends=True, lower=True, prefix=PASSAGE_PREFIX)
     texts = docs.filter(~is_blank(assemble_text())).select("snapshot", "docid", passage.alias("text"))

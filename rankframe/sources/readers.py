@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankframe.operators.lexical import Index
+
 QUERY_SCHEMA = "qid string, query string"
 QRELS_SCHEMA = "qid string, iter string, docid string, relevance int"
 TREC_SCHEMA = "qid string, q0 string, docid string, rank int, score double, tag string"
@@ -52,12 +54,14 @@ def parse_documents(lines: DataFrame, *, guard: bool = True, mode: str = "FAILFA
     return parsed.select(*fields, *kept, corrupt)
 
 
-def read_corpus(spark: SparkSession, path: str, *, guard: bool = True, mode: str = "FAILFAST") -> DataFrame:
-    """``(docid, title, abstract, file)`` from every ``*.jsonl`` under ``path``.
+def read_corpus(
+    spark: SparkSession, path: str, *, guard: bool = True, mode: str = "FAILFAST", files: str = CORPUS_FILES
+) -> DataFrame:
+    """``(docid, title, abstract, file)`` from every ``*.jsonl`` under ``path``, or what ``files`` names.
 
     ``file`` is the order in which ``dedupe_by_id`` lets copies of a document win.
     """
-    lines = spark.read.option("pathGlobFilter", CORPUS_FILES).text(path)
+    lines = spark.read.option("pathGlobFilter", files).text(path)
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
     return parse_documents(lines, guard=guard, mode=mode)
 
@@ -113,13 +117,19 @@ def has_snapshots(spark: SparkSession, path: str) -> bool:
 
 
 def read_snapshots(
-    spark: SparkSession, root: str, *, guard: bool = True, snapshot: str = "all", skip: Sequence[str] = ()
+    spark: SparkSession,
+    root: str,
+    *,
+    guard: bool = True,
+    snapshot: str = "all",
+    skip: Sequence[str] = (),
+    files: str = CORPUS_FILES,
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and queries with a ``snapshot`` column from ``root/documents/snapshot=…/*.jsonl`` and
     ``root/queries/snapshot=…/*``. A dataset without snapshot folders is one snapshot, named ``snapshot``."""
     folder = f"{root}/documents"
     partitioned = has_snapshots(spark, folder)
-    lines = spark.read.option("pathGlobFilter", CORPUS_FILES)
+    lines = spark.read.option("pathGlobFilter", files)
     lines = lines.schema("value string, snapshot string" if partitioned else "value string").text(folder)
     lines = lines.select("*", F.col("_metadata.file_path").alias("file"))
     docs = parse_documents(_by_snapshot(lines, partitioned, snapshot, skip), guard=guard)
@@ -129,3 +139,7 @@ def read_snapshots(
     schema = f"{QUERY_SCHEMA}, snapshot string" if partitioned else QUERY_SCHEMA
     queries = _by_snapshot(_delimited(spark, "\t").schema(schema).csv(folder), partitioned, snapshot, skip)
     return docs, queries.withColumn("query", F.coalesce("query", F.lit("")))
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index._fields])

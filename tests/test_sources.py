@@ -12,6 +12,7 @@ from rankframe.sources.readers import (
     parse_documents,
     read_corpus,
     read_embeddings,
+    read_index,
     read_qrels,
     read_queries,
     read_run,
@@ -20,7 +21,6 @@ from rankframe.sources.readers import (
 )
 from rankframe.sources.writers import (
     global_order,
-    read_index,
     to_indexable,
     write_embeddings,
     write_index,
