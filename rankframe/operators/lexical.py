@@ -99,9 +99,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _rank(matches: DataFrame, weights: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """Score and cut. ``matches`` is partitioned by document, and stays so: every step up to the cut works
-    inside a partition, and what crosses the network is k rows per query and task."""
-    scored = matches.join(weights, "term").groupBy("qid", "docid")
+    """Score and cut. ``matches`` is partitioned by document and its length, and stays so: every step up to
+    the cut works inside a partition, and what crosses the network is k rows per query and task."""
+    scored = matches.join(weights, "term").groupBy("qid", "docid", "dl")
     part = F.col("weight") * tf_saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     run = scored.agg(rounded(F.sum(part)).alias("score"))
     return top_k(run, k).select("qid", "docid", "score", "rank")
@@ -134,7 +134,9 @@ def bm25_search(
 
     With ``qrels`` only judged documents count, also for document frequencies and lengths. The query
     vocabulary, where it is small by measurement, is broadcast into the scan, so that a word no query
-    uses is gone before the shuffle.
+    uses is gone before the shuffle. The shuffle is by document and length, not by document alone: Spark
+    drops a repartitioning that documents already have (from ``dedupe_by_id``, say), and each reader of the
+    exchange would tokenize for itself.
     """
     if qrels is not None:
         docs = judged_corpus(docs, qrels)
@@ -147,11 +149,8 @@ def bm25_search(
     words = doc_tokens(docs, text).select(
         "docid", "dl", F.explode(F.array_append("tokens", F.lit(DOCUMENT_MARK))).alias("term")
     )
-    words = words.join(hint(vocabulary), "term", "left_semi").repartition("docid")
-    matches = words.groupBy("docid", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")
-    )
-
+    words = words.join(hint(vocabulary), "term", "left_semi").repartition("docid", "dl")
+    matches = words.groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     term_stats = matches.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").cast("long").alias("total")
     )
@@ -159,7 +158,9 @@ def bm25_search(
     totals = term_stats.agg(
         F.max(F.when(is_mark, F.col("df"))).alias("n"), F.max(F.when(is_mark, F.col("total"))).alias("total")
     )
-    return _rank(matches, hint(_weights(wanted, term_stats, totals)), k, k1, b)
+    # Asking for both columns keeps the plans of frequencies and totals alike, so they share one exchange.
+    frequencies = term_stats.filter(F.col("total") >= 0)
+    return _rank(matches, hint(_weights(wanted, frequencies, totals)), k, k1, b)
 
 
 def _one_of(terms: list[str]) -> Column:
@@ -182,5 +183,5 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b:
         matches, terms = (table.filter(_one_of(listed)) for table in (index.postings, index.terms))
     else:
         matches, terms = index.postings.join(hint(vocabulary), "term", "left_semi"), index.terms
-    matches = matches.repartition("docid")
+    matches = matches.repartition("docid", "dl")
     return _rank(matches, hint(_weights(wanted, terms, index.stats)), k, k1, b)
