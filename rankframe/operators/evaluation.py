@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import with_rank, written
 from rankframe.functions.scoring import discount
-from rankframe.operators.keys import unique_judgments, with_ids_of
+from rankframe.operators.keys import split_heavy, unique_judgments, with_ids_of
 
 RANKS_PER_STEP = 4096
 
@@ -123,13 +123,16 @@ def evaluate(run: DataFrame, qrels: DataFrame, **options) -> DataFrame:
     return mean_metric(ndcg_per_query(run, qrels, **options))
 
 
-def qrels_map(qrels: DataFrame, parts: int = 1) -> DataFrame:
-    """Judgments as one map per query, or as ``parts`` maps for queries with very many judgments."""
-    part = F.pmod(F.xxhash64("docid"), F.lit(parts)).cast("int")
-    pairs = unique_judgments(qrels).withColumn("part", part)
+def qrels_map(qrels: DataFrame, max_map: int = 100_000) -> DataFrame:
+    """Judgments as one map per query, ``(qid, part, n_parts, judgments)``; a query with more than
+    ``max_map`` judgments has several."""
+    pairs = unique_judgments(qrels)
+    counts = qrels.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    parted = split_heavy(pairs, "qid", counts, max_map)
     entries = F.collect_list(F.struct("docid", "relevance"))
-    keys = ["qid"] if parts == 1 else ["qid", "part"]
-    return pairs.groupBy(*keys).agg(F.map_from_entries(entries).alias("judgments"))
+    return parted.groupBy("qid", "part").agg(
+        F.max("n_parts").alias("n_parts"), F.map_from_entries(entries).alias("judgments")
+    )
 
 
 def coverage(docs: DataFrame, qrels: DataFrame, run: DataFrame) -> DataFrame:

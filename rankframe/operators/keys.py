@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankframe.functions.ranking import written
 from rankframe.functions.sizing import broadcast_if_small
 
 
@@ -59,3 +60,18 @@ def available_qrels(qrels: DataFrame, embeddings: DataFrame) -> DataFrame:
     """
     stored = with_ids_of(embeddings.select("docid"), qrels)
     return qrels.join(stored.distinct(), "docid", "left_semi").select(*qrels.columns)
+
+
+def split_heavy(df: DataFrame, key: str, counts: DataFrame, limit: int, member: str = "docid") -> DataFrame:
+    """``df`` with ``part`` and ``n_parts``: one part per key, or several, by a hash of ``member``, for keys
+    with more than ``limit`` rows by ``counts(key, n)``.
+
+    The heavy keys are stored and, being few, broadcast, so that ``df`` is not shuffled by a heavy key.
+    """
+    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("n_parts")
+    heavy = broadcast_if_small(written(counts.filter(F.col("n") > limit).select(key, parts)))
+    number = F.conv(F.substring(F.md5(F.col(member).cast("string")), 1, 8), 16, 10).cast("long")
+    n_parts = F.coalesce("n_parts", F.lit(1))
+    return df.join(heavy, key, "left").select(
+        *df.columns, F.pmod(number, n_parts).cast("int").alias("part"), n_parts.alias("n_parts")
+    )

@@ -7,11 +7,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.functions.ranking import top_k, written
+from rankframe.functions.ranking import top_k
 from rankframe.functions.scoring import idf, rounded, tf_saturation
-from rankframe.functions.sizing import broadcast_if_small, fits_broadcast
+from rankframe.functions.sizing import fits_broadcast
 from rankframe.functions.text import assemble_text, tokenize
-from rankframe.operators.keys import judged_corpus
+from rankframe.operators.keys import judged_corpus, split_heavy
 
 DOCUMENT_MARK = ""
 """Stands among a document's words once per document. No word is empty, so its document frequency is the
@@ -72,20 +72,11 @@ def inverted_index(
     """Postings as lists, ``(term, part, n_parts, postings)``, each list sorted by document.
 
     A word that stands in a third of the corpus would be one endless row, so lists longer than about
-    ``max_list`` are split over parts by a hash of the document id. ``terms`` are the document
-    frequencies, where they are stored. The few heavy words are stored and, being few, broadcast, so that
-    postings are shuffled only by term and part.
+    ``max_list`` are split over parts. ``terms`` are the document frequencies, where they are stored.
     """
-    heavy = (doc_freq(posting_rows) if terms is None else terms).filter(F.col("df") > max_list)
-    parts = F.ceil(F.col("df") / F.lit(max_list)).cast("int").alias("_parts")
-    heavy = broadcast_if_small(written(heavy.select("term", parts)))
-    number = F.conv(F.substring(F.md5(F.col("docid").cast("string")), 1, 8), 16, 10).cast("long")
-    parted = posting_rows.join(heavy, "term", "left").select(
-        "term",
-        F.coalesce("_parts", F.lit(1)).alias("n_parts"),
-        F.pmod(number, F.coalesce("_parts", F.lit(1))).cast("int").alias("part"),
-        F.struct("docid", "tf").alias("_posting"),
-    )
+    counts = (doc_freq(posting_rows) if terms is None else terms).withColumnRenamed("df", "n")
+    parted = split_heavy(posting_rows.select("term", "docid", "tf"), "term", counts, max_list)
+    parted = parted.withColumn("_posting", F.struct("docid", "tf"))
     lists = parted.groupBy("term", "part").agg(
         F.max("n_parts").alias("n_parts"), F.sort_array(F.collect_list("_posting")).alias("postings")
     )

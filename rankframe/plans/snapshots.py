@@ -36,7 +36,9 @@ def snapshot_runs(
     needed = docs.join(broadcast_if_small(keys), ["snapshot", "docid"], "left_semi")
     texts = needed.select("snapshot", "docid", assemble_text().alias("text"))
     asked = queries.select("snapshot", "qid", strip_prefix(normalize_query("query")).alias("query"))
-    hydrated = near.join(texts, ["snapshot", "docid"], "left").join(asked, ["snapshot", "qid"])
+    hydrated = near.join(texts, ["snapshot", "docid"], "left").join(
+        broadcast_if_small(asked), ["snapshot", "qid"]
+    )
     score = rounded(scorer(F.col("query"), F.coalesce("text", F.lit(""))))
     scored = for_scoring(hydrated, "snapshot").select("snapshot", "qid", "docid", score.alias("score"))
     return with_rank(scored, by=["snapshot", "qid"], depth=k)

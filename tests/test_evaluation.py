@@ -118,7 +118,10 @@ def test_bounds_and_row_order(spark, triples):
 def test_judgment_helpers(spark, rows):
     qrels = spark.createDataFrame([("q", "a", 1), ("q", "a", 2), ("q", "b", 0), ("p", "c", 1)], QRELS)
     assert {r["qid"]: r["judgments"] for r in qrels_map(qrels).collect()} == {"q": {"a": 2, "b": 0}, "p": {"c": 1}}
-    assert qrels_map(qrels, parts=4).groupBy("qid").count().count() == 2
+    many = spark.createDataFrame([("q", f"d{i}", i) for i in range(40)] + [("p", "c", 1)], QRELS)
+    split = [r for r in qrels_map(many, max_map=10).collect() if r["qid"] == "q"]
+    assert len(split) == split[0]["n_parts"] == 4
+    assert {d: r for row in split for d, r in row["judgments"].items()} == {f"d{i}": i for i in range(40)}
     assert positives(qrels).count() == 3
     stored = spark.createDataFrame([("a", [1.0]), ("zz", [1.0])], "docid string, embedding array<float>")
     assert rows(available_qrels(qrels, stored)) == [("q", "a", 1), ("q", "a", 2)]
