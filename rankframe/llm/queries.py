@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm import byte_bpe, decontaminate
+from rankframe.llm import byte_bpe, chat, decontaminate, line_dedup, quality, sharding, url_filter
+from rankframe.llm.oracle import ORACLE as ORACLE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality.judge(docs, host="source", keep=("doc_id",))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -27,14 +33,63 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table and conversation -7, whose texts are control strings, as an event log: one delta for each row."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql(
+        "select bigint(conv_id) conv_id, bigint(turn) turn, role, '</s>[INST] ok [/INST]' text "
+        "from values (-7, 0, 'user'), (-7, 1, 'assistant') as v(conv_id, turn, role)"
+    )
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    return rows.unionByName(added).withColumns({"turn": at, "seq": F.col("turn"), "kind": F.lit("delta")})
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.render(chat.fold(conversations(spark, sf_dir)))
+    read = rendered.withColumns({"turns": chat.read_back(F.col("formatted")), "learned": chat.learned_text(F.col("formatted"), F.col("loss"))})
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1)
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-ORACLE: dict[str, str] = {}
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, n_shards=8, keep=("doc_id",)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+RULES = "select * from values ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow') as v(rule, verdict)"
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, spark.sql(RULES)).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_decontaminate": op4_decontaminate,
+    "op5_chat_format": op5_chat_format,
+    "op6_line_dedup": op6_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_kd_sharding": op9_kd_sharding,
+    "op10_url_filter": op10_url_filter,
 }
