@@ -74,7 +74,8 @@ class Trie:
     and is a number kept with it. Below the empty context all bytes not seen at all share what is left.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None):
+        """``short``: n-grams of one context byte with their counts, where ``keys`` are only some of all n-grams."""
         self.order = order
         self.keys: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
@@ -85,8 +86,9 @@ class Trie:
         self.escapes_below: list[np.ndarray] = []
         below = None
         for j in range(order + 1):
-            level, of = np.unique(keys & _mask(j + 1), return_inverse=True)
-            count = np.bincount(of, weights=counts, minlength=len(level)) if len(level) else np.zeros(0)
+            of_keys, of_counts = (keys, counts) if short is None or j > 1 else short
+            level, of = np.unique(of_keys & _mask(j + 1), return_inverse=True)
+            count = np.bincount(of, weights=of_counts, minlength=len(level)) if len(level) else np.zeros(0)
             contexts, node = np.unique(level >> U64(8), return_inverse=True)
             n = np.bincount(node, weights=count, minlength=len(contexts))
             d = np.bincount(node, minlength=len(contexts)).astype(float)
@@ -164,11 +166,17 @@ class Trie:
         out[rest] = cost
         return out
 
-    def score(self, bodies: Iterable[bytes], n: int) -> np.ndarray:
-        """log10 probability of each of ``n`` texts and its end."""
+    def score(self, bodies: Iterable[bytes], n: int, pairs: tuple[int, int] | None = None) -> np.ndarray:
+        """log10 probability of each of ``n`` texts and its end, or the part of it that belongs to contexts whose last
+        two bytes, as a number, lie in [pairs[0], pairs[1])."""
         total = np.zeros(n)
         for values, starts, owners in chunks(bodies, self.order):
             codes, distinct = pd.factorize(values)
-            each = self.log10(np.asarray(distinct, U64))[codes]
+            distinct = np.asarray(distinct, U64)
+            each = self.log10(distinct)
+            if pairs:
+                last = (distinct >> U64(8)) & U64(0xFFFF)
+                each = np.where((last >= pairs[0]) & (last < pairs[1]), each, 0.0)
+            each = each[codes]
             np.add.at(total, owners, np.add.reduceat(each, starts))
         return total

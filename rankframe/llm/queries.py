@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm import byte_bpe, chat, decontaminate, line_dedup, quality, sharding, url_filter
+from rankframe.llm import byte_bpe, chat, decontaminate, extraction, line_dedup, lm_scoring, near_dup, quality, sharding, url_filter
 from rankframe.llm.oracle import ORACLE as ORACLE
 
 
@@ -19,6 +19,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, host="source", keep=("doc_id",))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return lm_scoring.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages, keep=("page_id", "url"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -64,6 +75,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.groups(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -86,9 +102,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_main_text": op3_main_text,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op6_line_dedup": op6_line_dedup,
+    "op7_near_dup": op7_near_dup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_url_filter": op10_url_filter,

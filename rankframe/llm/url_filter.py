@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.llm.columns import ascii_lower, packed
@@ -17,6 +17,31 @@ MAX_LABELLED = 20_000
 
 MADE = ("host", "path", "rule", "verdict")
 
+BLOCK_HOSTS = (
+    "ads-server ads-tracker track-ads click-track adserver banner-ads adult-video adult-chat xxx-adult porn-tube live-sex "
+    "casino-bonus online-casino casino-club poker-win slots-win free-bets-now sport-bets bets-online cheap-pills-shop pills-online "
+    "buy-pills viagra-cheap spam-mail spam-links link-farm content-farm free-money win-prize malware-load"
+)
+ALLOW_HOSTS = (
+    "news daily-news city-news weather science physics history library museum gallery garden cooking recipes travel guide maps "
+    "school college university research journal archive books poems music radio theatre sports health clinic hospital council "
+    "parliament courts market farmers bakery railway airport harbour river mountain forest wildlife astronomy geology"
+)
+LABELLED_PATHS = ("/", "/en/17", "/de/204.html", "/fr/31/", "/es/5082")
+"""The small labelled table that the classifier is trained from by default: each name below a few domains, with the
+same paths on both sides, so that the hosts decide."""
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The default labelled table: (url, verdict)."""
+    names = [(name, "block") for name in BLOCK_HOSTS.split()] + [(name, "allow") for name in ALLOW_HOSTS.split()]
+    heads = F.array(*[F.lit(p) for p in ("", "www.", "blog.", "m.")])
+    tails = F.array(*[F.lit(p) for p in (".example", ".test", ".invalid")])
+    rows = spark.sql("select * from values " + ", ".join(f"('{name}', '{verdict}')" for name, verdict in names) + " as v(name, verdict)")
+    paths = F.array(*[F.lit(p) for p in LABELLED_PATHS])
+    rows = rows.withColumn("head", F.explode(heads)).withColumn("tail", F.explode(tails)).withColumn("path", F.explode(paths))
+    return rows.select(F.concat(F.lit("http://"), "head", "name", "tail", "path").alias("url"), "verdict")
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to
@@ -94,18 +119,14 @@ def judge(df: DataFrame, rules: DataFrame, labelled: DataFrame | None = None, ur
     """``df`` with ``host``, ``path``, ``rule`` (the longest that fits, else null), ``verdict`` (the rule's, else the
     classifier's) and ``block_score``; columns of those names are replaced.
 
-    ``labelled`` has (url, verdict); by default the urls of ``df`` that a rule fits, with the rule's verdict, are the
-    labelled table. An empty or null url has no host and path and is judged by the classifier like any other.
+    ``labelled`` has (url, verdict), by default ``labelled_urls``. An empty or null url has no host and path and is judged by the classifier like any other.
     """
     given = df.drop(*MADE, "block_score")
     host, path = host_and_path(F.col(f"`{url}`"))
     parts = given.select(packed(given).alias("_row"), host.alias("host"), path.alias("path"))
     ruled = with_rule(parts, rules)
-    if labelled is None:
-        known = ruled.filter(F.col("fit").isNotNull()).select("host", "path", F.col("fit.verdict").alias("verdict"))
-    else:
-        host, path = host_and_path(F.col("url"))
-        known = labelled.select(host.alias("host"), path.alias("path"), "verdict")
+    host, path = host_and_path(F.col("url"))
+    known = (labelled or labelled_urls(df.sparkSession)).select(host.alias("host"), path.alias("path"), "verdict")
     judged = Classifier(known).judge(ruled)
     return judged.select(
         "_row.*", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "judged").alias("verdict"), "block_score"
