@@ -123,3 +123,9 @@ def judge(
     return base.join(frequent, ["host", "t1", "t2"], "left").select(
         "_row.*", *BASE, base_failed.alias("base_failed"), n_frequent.alias("n_frequent_words"), (~base_failed & left).alias("kept")
     )
+
+
+def kept_rows(df: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, all columns as they are."""
+    rows = df.select(packed(df).alias("_row"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("host"))
+    return judge(rows, "text", "host", keep=("_row",), **limits).filter("kept").select("_row.*")
