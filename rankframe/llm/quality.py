@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.columns import ascii_lower, hash_pair, packed, strip_spaces, words_of
+from rankframe.llm.skew import salted_join
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -29,12 +30,8 @@ def line_key(line: Column) -> Column:
 
 def _starts_repeated(ordered: Column) -> Column:
     """Starts of the windows that equal a neighbour in ``ordered``, windows (h, at) in order of h."""
-
-    def repeated(window: Column, i: Column) -> Column:
-        before, after = F.get(ordered, i - 1)["h"], F.get(ordered, i + 1)["h"]
-        return F.coalesce(before == window["h"], F.lit(False)) | F.coalesce(after == window["h"], F.lit(False))
-
-    return F.transform(F.filter(ordered, repeated), lambda window: window["at"])
+    pairs = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(ordered) + 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
+    return F.flatten(F.filter(pairs, lambda pair: pair.isNotNull()))
 
 
 def with_base(df: DataFrame, words: str, text: str) -> DataFrame:
@@ -80,9 +77,9 @@ def frequent_words(df: DataFrame, min_docs: int, min_percent: float, max_line_ch
         .filter(F.col("n_docs") * 100 >= F.col("of_docs") * min_percent)
         .select("host", "h1", "h2")
     )
+    lines_of = texts.select("host", "t1", "t2", F.inline("lines"))
     return (
-        texts.select("host", "t1", "t2", F.inline("lines"))
-        .join(frequent, ["host", "h1", "h2"])
+        salted_join(lines_of, frequent, ["host", "h1", "h2"], ["t1", "t2"])
         .groupBy("host", "t1", "t2")
         .agg(F.sum("n").alias("n_frequent_words"))
     )
@@ -119,9 +116,11 @@ def judge(
     base = with_base(rows.withColumns({"_words": words_of(F.col("text"))}), "_words", "text").select("_row", "host", *_text_key(), *BASE)
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     n_frequent = F.coalesce("n_frequent_words", F.lit(0))
-    left = (F.col("n_words") - n_frequent) * 100 >= F.col("n_words") * min_left_percent
+    spare = (F.col("n_words") - n_frequent) * 100 - F.col("n_words") * min_left_percent
+    # one condition over both sides of the join: a filter on it must not drag the base rules below the join again
+    kept = F.least(-base_failed.cast("double"), spare.cast("double")) >= 0
     return base.join(frequent, ["host", "t1", "t2"], "left").select(
-        "_row.*", *BASE, base_failed.alias("base_failed"), n_frequent.alias("n_frequent_words"), (~base_failed & left).alias("kept")
+        "_row.*", *BASE, base_failed.alias("base_failed"), n_frequent.alias("n_frequent_words"), kept.alias("kept")
     )
 
 
