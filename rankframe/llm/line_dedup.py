@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.columns import ascii_lower, hash_pair, packed, strip_spaces
+from rankframe.llm.skew import salted_join
 
 MADE = ("n_lines", "n_dropped")
 
@@ -23,7 +24,7 @@ def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, m
     loses all lines becomes empty. Repeated rows are documents of their own.
 
     Lines travel as 128-bit hashes. Counts combine before their shuffle, so a line of any share of the documents is
-    no hot key there; positions are gathered by the hash of the whole text, once for all its copies.
+    no hot key there, and meet the frequent keys salted; positions are gathered by the hash of the whole text, once for all its copies.
     """
     given = df.drop(*MADE)
     rest = [c for c in given.columns if c != text]
@@ -47,7 +48,7 @@ def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, m
     dropped = (
         lines.select("t1", "t2", F.inline("lines"))
         .select("t1", "t2", "at", "h1", "h2")
-        .join(frequent, ["h1", "h2"])
+        .transform(lambda found: salted_join(found, frequent, ["h1", "h2"], ["t1", "t2"]))
         .groupBy("t1", "t2")
         .agg(F.collect_set("at").alias("_dropped"))
     )
