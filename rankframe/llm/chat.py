@@ -40,10 +40,11 @@ def fold(events: DataFrame) -> DataFrame:
     marks = log.groupBy("conv_id", "turn").agg(
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated"),
         F.max(F.when(F.col("kind") == "edit", F.col("seq"))).alias("edited"),
+        F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"].alias("last_role"),
     )
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = marks.select(
-        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.max("regenerated").over(so_far).alias("regenerated"), "edited"
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.max("regenerated").over(so_far).alias("regenerated"), "edited", "last_role"
     )
     both = log.join(marks, log.conv_id.eqNullSafe(marks._conv) & log.turn.eqNullSafe(marks._turn))
     seq, edit = F.col("seq"), F.col("kind") == "edit"
@@ -52,10 +53,9 @@ def fold(events: DataFrame) -> DataFrame:
     )
     said = both.filter(F.col("kind").isin("delta", "edit") & alive)
     parts = F.array_sort(F.collect_list(F.struct("seq", "kind", "text")))
-    role = F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "role")))
     return (
         said.groupBy("conv_id", "turn")
-        .agg(parts.alias("parts"), F.coalesce(role, F.lit("")).alias("role"))
+        .agg(parts.alias("parts"), F.coalesce(F.max("last_role"), F.lit("")).alias("role"))
         .select("conv_id", "turn", "role", F.array_join("parts.text", "").alias("text"))
     )
 
