@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rankframe.functions.ranking import written
 from rankframe.llm.columns import hash_pair, packed
+from rankframe.llm.skew import skew_join
 
 BINS = 1024
 TOLERANCE = 1 / 8192
@@ -113,12 +114,32 @@ def assign(groups: DataFrame, dims: list[str], n_shards: int, bins: int = BINS)
     return cells.drop(*[f"_key{i}" for i in range(len(dims))])
 
 
+def giant_texts(groups: DataFrame, weight: int, n_shards: int) -> list[tuple[int, int]]:
+    """Texts whose copies outweigh an even share of what they leave to the other shards: each is a shard of its own.
+
+    Only the ``n_shards`` heaviest can be such."""
+    giants: list[tuple[int, int]] = []
+    for row in groups.orderBy(F.desc("weight"), "h1", "h2").limit(n_shards - 1).select("h1", "h2", "weight").collect():
+        if row["weight"] * (n_shards - len(giants)) <= weight or len(giants) == n_shards - 1:
+            break
+        giants.append((row["h1"], row["h2"]))
+        weight -= row["weight"]
+    return giants
+
+
+def _without(groups: DataFrame, giants: list[tuple[int, int]]) -> DataFrame:
+    for h1, h2 in giants:
+        groups = groups.filter((F.col("h1") != h1) | (F.col("h2") != h2))
+    return groups
+
+
 def shard(df: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, text: str = "text", row_id: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns ``keep`` of ``df`` (all by default) with ``size`` (UTF-8 bytes of the text plus 1), ``text_crc32``,
     ``shard`` and ``slot``, gapless from 0 in every shard; columns of those names are replaced.
 
     Shards are the leaves of a k-d tree over distinct texts, near equal in bytes; equal texts share one. Dimensions:
-    bytes of the text, its smallest ``row_id`` (by hash if not a number), and the number of its copies. ``target_bytes`` sets the number of
+    its smallest ``row_id`` (by hash if not a number) and the number of its copies. A text whose copies outweigh an even
+    share is a shard of its own. ``target_bytes`` sets the number of
     shards from the table's bytes where ``n_shards`` is not given. A null text is empty; a null id sorts first.
     """
     given = df.drop(*MADE)
@@ -135,12 +156,17 @@ def shard(df: DataFrame, n_shards: int | None = None, target_bytes: int | None =
     place = F.col("_id").cast("double") if isinstance(df.schema[row_id].dataType, T.NumericType) else F.xxhash64("_id").cast("double")
     groups = written(
         rows.groupBy("h1", "h2").agg(
-            F.sum("size").alias("weight"), F.max("size").alias("bytes"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("place")
+            F.sum("size").alias("weight"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("place")
         )
     )
     total = groups.agg(F.sum("weight"), F.sum("copies")).first()
     n_shards = n_shards or max(1, -(-int(total[0] or 0) // target_bytes))
-    placed = rows.join(assign(groups, ["bytes", "place", "copies"], n_shards).select("h1", "h2", "shard"), ["h1", "h2"])
+    giants = giant_texts(groups, int(total[0] or 0), n_shards)
+    tree = assign(_without(groups, giants), ["place", "copies"], n_shards - len(giants)).select("h1", "h2", "shard")
+    for i, (h1, h2) in enumerate(giants):
+        alone = groups.filter((F.col("h1") == h1) & (F.col("h2") == h2))
+        tree = tree.unionByName(alone.select("h1", "h2", F.lit(n_shards - 1 - i).alias("shard")))
+    placed = skew_join(rows, tree, ["h1", "h2"])
 
     n_buckets = max(16, int(total[1] or 0) // (ROWS_PER_BUCKET * n_shards))
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("_id", "size", "h1"), F.lit(n_buckets)))
