@@ -149,7 +149,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
     """The columns ``keep`` of ``pages`` (all by default) with ``text``, the page's blocks in order joined by one
     space (empty if none), and ``n_chars``, its code points; columns of those names are replaced.
 
-    A null page has no text, a null url the empty host; equal rows are one page and get the same text each.
+    A null page has no text, a null url the empty host; equal rows are one page and get the same text each. Only
+    pages with open blocks are shuffled; the others are parsed and done in the scan.
     """
     given = pages.drop("text", "n_chars")
     kept = packed(given, *(keep or given.columns))
@@ -159,9 +160,13 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
         F.col(f"`{page}`").alias("_html"),
     )
     parsed = _parsed(source)
+    has_open = F.exists("blocks", lambda b: b["zone"] == OPEN_ZONE)
+    main = F.array_join(F.transform(F.filter("blocks", lambda b: b["zone"] == MAIN_ZONE), lambda b: b["text"]), " ")
+    plain = parsed.filter(~has_open).select("_row", main.alias("text"))
     covered = covered_tokens(_parsed(source.select("host", "h1", "h2", "_html")), run)
-    joined = parsed.join(covered, ["h1", "h2"], "left")
-    return joined.select("_row.*", _assembled(F.col("blocks"), F.col("covered")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    mixed = parsed.filter(has_open).join(covered, ["h1", "h2"], "left")
+    mixed = mixed.select("_row", _assembled(F.col("blocks"), F.col("covered")).alias("text"))
+    return plain.unionByName(mixed).select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def _assembled(all_blocks, covered):
