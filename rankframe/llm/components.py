@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import written
-from rankframe.llm.skew import salted_join
+from rankframe.llm.skew import skew_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,11 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
-        seen = salted_join(edges.withColumnRenamed("b", "node"), labels, ["node"], ["a"])
+        seen = skew_join(edges.withColumnRenamed("b", "node"), labels, ["node"])
         lowest = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         own = labels.join(lowest, "node").select("node", "label", F.least("label", "near").alias("near"))
         of_label = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        jumped = salted_join(own, of_label, ["near"], ["node"], "left")
+        jumped = skew_join(own, of_label, ["near"], "left")
         new = written(jumped.select("node", F.coalesce(F.least("near", "far"), "near").alias("next"), "label"))
         changed = new.filter("next <> label").limit(1).count()
         labels = new.select("node", F.col("next").alias("label"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.columns import ascii_lower, hash_pair, packed, strip_spaces
-from rankframe.llm.skew import salted_join
+from rankframe.llm.skew import skew_join
 
 MADE = ("n_lines", "n_dropped")
 
@@ -24,7 +24,8 @@ def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, m
     loses all lines becomes empty. Repeated rows are documents of their own.
 
     Lines travel as 128-bit hashes. Counts combine before their shuffle, so a line of any share of the documents is
-    no hot key there, and meet the frequent keys salted; positions are gathered by the hash of the whole text, once for all its copies.
+    no hot key there, and its rows are split where they meet the frequent keys; positions are gathered by the
+    hash of the whole text, once for all its copies, and the copies are split where they meet them.
     """
     given = df.drop(*MADE)
     rest = [c for c in given.columns if c != text]
@@ -48,7 +49,7 @@ def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, m
     dropped = (
         lines.select("t1", "t2", F.inline("lines"))
         .select("t1", "t2", "at", "h1", "h2")
-        .transform(lambda found: salted_join(found, frequent, ["h1", "h2"], ["t1", "t2"]))
+        .transform(lambda found: skew_join(found, frequent, ["h1", "h2"]))
         .groupBy("t1", "t2")
         .agg(F.collect_set("at").alias("_dropped"))
     )
@@ -56,7 +57,7 @@ def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, m
     split = F.split(whole, "\n")
     kept_at = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_dropped")
     kept = F.array_join(F.transform(kept_at, lambda at: F.get(split, at)), "\n")
-    made = docs.join(dropped, ["t1", "t2"], "left").select(
+    made = skew_join(docs, dropped, ["t1", "t2"], "left").select(
         "_row",
         F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(kept).alias("_text"),
         F.size(split).cast("long").alias("n_lines"),

@@ -23,7 +23,7 @@ from rankframe.functions.ranking import written
 from rankframe.llm.columns import hash_pair, packed
 from rankframe.llm.components import components
 from rankframe.llm.shingles import MinHashes, WordHashes, digest, estimated, shingle_set, sketch, stacked
-from rankframe.llm.skew import salted_join
+from rankframe.llm.skew import skew_join
 
 PERCENT = 85
 TREES, DEPTH, BRANCHES, LEAF = 4, 3, 2, 64
@@ -35,6 +35,7 @@ MARGIN = 0.22
 """A pair whose estimate is more than this below the threshold is dropped: six standard deviations at 96 functions."""
 
 BLOCK = 512
+BUCKETS = 1 << 20
 MADE = ("n_shingles", "component_id", "kept")
 
 
@@ -78,7 +79,7 @@ def nodes(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
     frontier, done = branch(roots, 0), None
     for depth in range(DEPTH):
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        shared = written(salted_join(frontier, sizes, ["node"], ["cid"]))
+        shared = written(skew_join(frontier, sizes, ["node"]))
         last = depth == DEPTH - 1
         ready = shared.select("node", "cid") if last else shared.filter(F.col("size") <= leaf).select("node", "cid")
         done = ready if done is None else done.unionByName(ready)
@@ -98,7 +99,7 @@ def star_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     ``members`` has (node, cid, n, sketch)."""
     smallest = members.groupBy("node").agg(F.min(F.struct("cid", "n", "sketch")).alias("p"))
-    star = salted_join(members, smallest, ["node"], ["cid"]).filter(F.col("p.cid") != F.col("cid"))
+    star = skew_join(members, smallest, ["node"]).filter(F.col("p.cid") != F.col("cid"))
     rows = star.select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("n_a"), "n", F.col("p.sketch").alias("s_a"), "sketch")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         F.ceil(F.col("main.m") / BLOCK).cast("int").alias("main_blocks"),
         F.ceil((F.col("size") - F.col("main.m")) / BLOCK).cast("int").alias("other_blocks"),
     )
-    rows = salted_join(members, sizes, ["node"], ["cid"])
+    rows = skew_join(members, sizes, ["node"])
     is_main = F.col("label") == F.col("main")
     block = F.pmod(F.xxhash64("cid"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int")
     others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
@@ -181,13 +182,17 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_id: str, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose full shingle sets have a Jaccard similarity of ``percent`` or more.
 
-    ``reps`` has (cid, doc_id, t1, t2): a row of ``df`` for each class. Only sets of classes in a pair are built; a
-    set travels once for each of its pairs, and the partner's is met with salted keys.
+    ``reps`` has (cid, doc_id, t1, t2): a row of ``df`` for each class. Only sets of classes in a pair are built. Texts
+    are sorted out in the scan by a broadcast of the buckets of their hash that are wanted, at most ``BUCKETS`` of
+    them, and the rest meet the wanted rows exactly.
     """
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    places = wanted.join(reps, "cid").select("cid", F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    places = written(wanted.join(reps, "cid")).select("cid", F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
     t1, t2 = hash_pair(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     texts = df.select(F.col(f"`{row_id}`").alias("_own"), t1.alias("t1"), t2.alias("t2"), F.col(f"`{text}`").alias("_text"))
+    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS))
+    buckets = places.select(bucket("_t1").alias("_bucket")).distinct()
+    texts = texts.withColumn("_bucket", bucket("t1")).join(F.broadcast(buckets), "_bucket", "left_semi")
     on = (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & F.col("_own").eqNullSafe(F.col("_doc"))
     found = texts.join(places, on).select("cid", "_text")
 
@@ -199,7 +204,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_i
 
     sets = written(found.mapInArrow(build, "cid binary, shingles binary").dropDuplicates(["cid"]))
     right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("s_b")), "b")
-    both = salted_join(right, sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s_a")), ["a"], ["b"])
+    both = skew_join(right, sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s_a")), ["a"])
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -238,15 +243,15 @@ def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", percent: i
     own = labels.withColumnRenamed("node", "cid")
     joined = more
     for end in ("a", "b"):
-        joined = salted_join(joined, own.select(F.col("cid").alias(end), F.col("label").alias(f"l_{end}")), [end], ["a", "b"], "left")
+        joined = skew_join(joined, own.select(F.col("cid").alias(end), F.col("label").alias(f"l_{end}")), [end], "left")
     between = joined.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).distinct()
     merged = components(between).select(F.col("node").alias("first"), F.col("label").alias("final"))
 
     labelled = classes.select("cid", "rep").join(own, "cid", "left").withColumn("first", F.coalesce("label", "cid")).drop("label")
-    labelled = salted_join(labelled, merged, ["first"], ["cid"], "left").select("cid", "rep", F.coalesce("final", "first").alias("label"))
+    labelled = skew_join(labelled, merged, ["first"], "left").select("cid", "rep", F.coalesce("final", "first").alias("label"))
     best = labelled.groupBy("label").agg(F.min("rep").alias("best"))
-    of_class = salted_join(labelled, best, ["label"], ["cid"]).select("cid", "best")
-    whole = salted_join(rows.select("doc_id", "_id", "t1", "t2", "cid", "n"), of_class, ["cid"], ["_id"], "left")
+    of_class = skew_join(labelled, best, ["label"]).select("cid", "best")
+    whole = skew_join(rows.select("doc_id", "_id", "t1", "t2", "cid", "n"), of_class, ["cid"], "left")
     return whole.select(
         "doc_id",
         "t1",

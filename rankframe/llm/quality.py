@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.columns import ascii_lower, hash_pair, packed, strip_spaces, words_of
-from rankframe.llm.skew import salted_join
+from rankframe.llm.skew import skew_join
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -79,7 +79,7 @@ def frequent_words(df: DataFrame, min_docs: int, min_percent: float, max_line_ch
     )
     lines_of = texts.select("host", "t1", "t2", F.inline("lines"))
     return (
-        salted_join(lines_of, frequent, ["host", "h1", "h2"], ["t1", "t2"])
+        skew_join(lines_of, frequent, ["host", "h1", "h2"])
         .groupBy("host", "t1", "t2")
         .agg(F.sum("n").alias("n_frequent_words"))
     )
@@ -119,7 +119,7 @@ def judge(
     spare = (F.col("n_words") - n_frequent) * 100 - F.col("n_words") * min_left_percent
     # one condition over both sides of the join: a filter on it must not drag the base rules below the join again
     kept = F.least(-base_failed.cast("double"), spare.cast("double")) >= 0
-    return base.join(frequent, ["host", "t1", "t2"], "left").select(
+    return skew_join(base, frequent, ["host", "t1", "t2"], "left").select(
         "_row.*", *BASE, base_failed.alias("base_failed"), n_frequent.alias("n_frequent_words"), kept.alias("kept")
     )
 

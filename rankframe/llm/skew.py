@@ -1,4 +1,4 @@
-"""Joins and groups that one key with a large share of the rows does not put into one task."""
+"""Joins that one key with a large share of the rows does not put into one task."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 
+def skew_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has at most one row for each key; ``how`` is inner, left or left_anti.
 
-def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """``many`` joined with ``few``, which has at most one row for each key: the rows of a key in ``many`` are dealt
-    over ``salts`` tasks by a hash of ``spread_by``, and ``few`` is there once for each. Both sides get an exchange
-    of their own, so that adaptive execution can split what is still too much. ``how`` is inner, left or left_anti."""
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), *spread_by), F.lit(salts)).cast("int"))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    A side that was just grouped by the keys would be joined where it lies, and adaptive execution splits a partition
+    only if both sides were dealt out for the join. A further key, made from the others, has both dealt out, so a key
+    of any share of ``many`` is split over tasks, each with the one row of ``few``.
+    """
+    part = F.pmod(F.xxhash64(*on), F.lit(2)).cast("int")
+    return many.withColumn("_part", part).join(few.withColumn("_part", part), [*on, "_part"], how).drop("_part")
