@@ -59,13 +59,13 @@ def read_qrels_files(spark: SparkSession, sf: str) -> DataFrame:
 def run_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark)
     writers.write_run(t.dense_run(spark, sf), path)
-    return readers.read_run(spark, path)
+    return readers.read_run(spark, path).withColumn("score", F.round("score", 6))
 
 
 def trec_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark)
     writers.write_trec_run(t.dense_run(spark, sf), path, "dense")
-    return readers.read_trec_run(spark, path)
+    return readers.read_trec_run(spark, path).withColumn("score", F.round("score", 6))
 
 
 def embedding_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,8 @@ def embedding_files(spark: SparkSession, sf: str) -> DataFrame:
 def index_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark)
     writers.write_index(rf.build_index(t.corpus(spark, sf)), path)
-    return rf.search(readers.read_index(spark, path), t.queries(spark, sf), 10)
+    run = rf.search(readers.read_index(spark, path), t.queries(spark, sf), 10)
+    return run.withColumn("score", F.round("score", 6))
 
 
 def load_counts():
@@ -116,8 +117,18 @@ def snapshot_files(spark: SparkSession, sf: str) -> DataFrame:
         f"{root}/queries"
     )
     for _ in range(2):
-        rf.run_snapshots(spark, root, f"{root}/runs", COUNTS, rf.token_jaccard, k=20, files=JSON_FILES)
-    return readers.read_trec_run(spark, f"{root}/runs")
+        rf.run_snapshots(spark, root, f"{root}/runs", COUNTS, rf.token_jaccard, k=100, files=JSON_FILES)
+    return readers.read_trec_run(spark, f"{root}/runs").withColumn("score", F.round("score", 6))
+
+
+def snapshot_shared_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """One file of queries for the snapshots of all documents."""
+    root = fresh(spark)
+    write_corpus(t.corpus(spark, sf), f"{root}/documents", "snapshot")
+    write_lines(one_line_queries(spark, sf), f"{root}/queries", "\t")
+    docs, asked = readers.read_snapshots(spark, root, files=JSON_FILES)
+    names = docs.select("snapshot").distinct()
+    return asked.join(names, "snapshot").select("snapshot", "qid", "query")
 
 
 ROUND_TRIPS = {
@@ -132,5 +143,6 @@ ROUND_TRIPS = {
         index_files,
         embeddings_reused,
         snapshot_files,
+        snapshot_shared_queries,
     )
 }

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 import rankframe as rf
 from checks import tables as t
 from checks.round_trips import COUNTS, ROUND_TRIPS
+from rankframe.functions.ranking import written
 from rankframe.functions.text import PASSAGE_PREFIX, is_blank
 from rankframe.operators import lexical
 from rankframe.operators.encoding import encode
 from rankframe.operators.evaluation import mean_metric
+from rankframe.operators.keys import unique_judgments
 from rankframe.operators.training import in_batch_negatives
 from rankframe.sources.readers import parse_documents
 from rankframe.sources.writers import to_indexable, to_trec_lines
 
 NOISE = 200
+LANGS = ("de", "en", "es", "fr")
 TEXT_FORMS = {
     "bm25_text": {"lower": True},
     "encode_text": {"strip_ends": True, "lower": True},
@@ -110,40 +113,60 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select("term", "part", "n_parts", F.array_join(items, ",").alias("postings"))
 
 
-def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+def _six(df: DataFrame, *names: str) -> DataFrame:
+    """What is shown has six decimals; what is ranked keeps all."""
+    return df.withColumns({name: F.round(name, 6) for name in names})
+
+
+def _judged_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return rf.bm25_search(t.queries(spark, sf), t.corpus(spark, sf), 200, qrels=t.qrels(spark, sf))
 
 
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(_judged_bm25(spark, sf), "score")
+
+
 def bm25_whole_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return rf.bm25_search(t.queries(spark, sf), t.corpus(spark, sf), 200)
+    return _six(rf.bm25_search(t.queries(spark, sf), t.corpus(spark, sf), 200), "score")
 
 
 def search_top10(spark: SparkSession, sf: str) -> DataFrame:
-    return rf.search(rf.build_index(t.corpus(spark, sf)), t.queries(spark, sf), 10)
+    return _six(rf.search(rf.build_index(t.corpus(spark, sf)), t.queries(spark, sf), 10), "score")
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return t.dense_run(spark, sf, 200)
+    return _six(t.dense_run(spark, sf, 200), "score")
+
+
+def dense_near_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Only rank and document: the scores of a pair agree in the decimals that are shown."""
+    run = rf.dense_search(t.query_vectors(spark, sf), t.near_tied_vectors(spark, sf), 20)
+    return run.select("qid", "docid", "rank")
+
+
+def dense_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The way for more queries than a task may hold."""
+    run = rf.dense_search(t.query_vectors(spark, sf), t.vectors(spark, sf), 100, query_bytes=100_000)
+    return _six(run, "score")
 
 
 def dense_topk_blocked(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of 1,000 vectors; the later of equal documents first."""
     stored = t.vectors(spark, sf).withColumn("position", F.col("docid"))
-    return rf.dense_search(
-        t.query_vectors(spark, sf), stored, 100, tie="position", tie_desc=True, block=1000
-    )
+    run = rf.dense_search(t.query_vectors(spark, sf), stored, 100, tie="position", tie_desc=True, block=1000)
+    return _six(run, "score")
 
 
 def zero_based_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return rf.with_rank(t.dense_run(spark, sf).drop("rank"), base=0, depth=t.RUN_K)
+    return _six(rf.with_rank(t.dense_run(spark, sf).drop("rank"), base=0, depth=t.RUN_K), "score")
 
 
 def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return rf.weighted_fusion(t.expert_runs(spark, sf), (0.8, 0.1, 0.1), depth=t.RUN_K)
+    return _six(rf.weighted_fusion(t.expert_runs(spark, sf), (0.8, 0.1, 0.1), depth=t.RUN_K), "fused_score")
 
 
 def weighted_fusion_default(spark: SparkSession, sf: str) -> DataFrame:
-    return rf.weighted_fusion(t.expert_runs(spark, sf), depth=t.RUN_K)
+    return _six(rf.weighted_fusion(t.expert_runs(spark, sf), depth=t.RUN_K), "fused_score")
 
 
 def rrf(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,11 +177,21 @@ def rrf_derive_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rf.rrf([run.drop("rank") for run in t.expert_runs(spark, sf)], depth=t.RUN_K)
 
 
+def weighted_fusion_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Full outer joins, for runs that may repeat a document, ranked without a known depth."""
+    return _six(rf.weighted_fusion(t.expert_runs(spark, sf), unique=False), "fused_score")
+
+
 def _rerank(spark: SparkSession, sf: str, missing: str) -> DataFrame:
-    """Texts are known for the judged documents only."""
-    known = rf.judged_corpus(texts(spark, sf), t.qrels(spark, sf))
-    run = t.dense_run(spark, sf)
-    return rf.rerank(run, t.queries(spark, sf), known, rf.token_jaccard, missing, depth=t.RUN_K)
+    run = t.sparse_run(spark, sf)
+    return _six(rf.rerank(run, t.queries(spark, sf), texts(spark, sf), rf.token_jaccard, missing, depth=t.RUN_K), "score")
+
+
+def rerank_small_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A scorer whose scores differ beyond the decimals that are shown."""
+    scorer = lambda query, text: rf.token_jaccard(query, text) * F.lit(1e-7)
+    run = rf.rerank(t.dense_run(spark, sf), t.queries(spark, sf), texts(spark, sf), scorer, depth=t.RUN_K)
+    return run.select("qid", "docid", "rank")
 
 
 def rerank_drop(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,22 +204,19 @@ def rerank_blank(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank_from_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     stored = t.vectors(spark, sf).withColumn("position", F.col("docid"))
-    return rf.rerank_from_embeddings(
+    run = rf.rerank_from_embeddings(
         t.query_vectors(spark, sf), stored, texts(spark, sf), rf.token_jaccard, t.RUN_K, position="position"
     )
-
-
-def _six(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({name: F.round(name, 6) for name in names})
+    return _six(run, "score")
 
 
 def ndcg_per_query(spark: SparkSession, sf: str) -> DataFrame:
-    per_query = rf.ndcg_per_query(bm25_topk(spark, sf), t.qrels(spark, sf), depth=200)
+    per_query = rf.ndcg_per_query(_judged_bm25(spark, sf), t.qrels(spark, sf), depth=200)
     return _six(per_query, "dcg", "idcg", "ndcg")
 
 
 def ndcg_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return _six(rf.evaluate(bm25_topk(spark, sf), t.qrels(spark, sf), depth=200), "ndcg")
+    return _six(rf.evaluate(_judged_bm25(spark, sf), t.qrels(spark, sf), depth=200), "ndcg")
 
 
 def ndcg_constant_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +227,7 @@ def ndcg_constant_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def ndcg_at_k_standard(spark: SparkSession, sf: str) -> DataFrame:
     per_query = rf.ndcg_per_query(
-        bm25_topk(spark, sf),
+        _judged_bm25(spark, sf),
         t.qrels(spark, sf),
         k=10,
         ideal="all_judged",
@@ -214,8 +244,14 @@ def qrels_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    known = rf.judged_corpus(texts(spark, sf), t.qrels(spark, sf))
-    return rf.coverage(known, t.qrels(spark, sf), t.dense_run(spark, sf))
+    return rf.coverage(texts(spark, sf), t.qrels(spark, sf), t.sparse_run(spark, sf))
+
+
+def qrels_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Every judgment twice, the second one point lower and later: the later counts, not the higher."""
+    first = t.qrels(spark, sf).withColumn("seq", F.lit(1))
+    second = first.withColumns({"seq": F.lit(2), "relevance": F.greatest(F.col("relevance") - 1, F.lit(0))})
+    return unique_judgments(first.unionByName(second), order=["seq"]).select("qid", "docid", "relevance")
 
 
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,12 +273,28 @@ def indexable_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """A document lies in its language's snapshot, a query in that of the document with its id."""
-    docs = t.corpus(spark, sf)
-    of_doc = docs.select("docid", "snapshot")
-    asked = t.query_vectors(spark, sf).join(of_doc.withColumnRenamed("docid", "qid"), "qid")
-    stored = t.vectors(spark, sf).join(of_doc, "docid")
-    return rf.snapshot_runs(docs, asked, stored, rf.token_jaccard, 100)
+    docs, asked, stored = t.snapshot_inputs(spark, sf)
+    return _six(rf.snapshot_runs(docs, asked, stored, rf.token_jaccard, 100), "score")
+
+
+def _snapshot_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query in every snapshot, so that equal query ids meet under the key."""
+    docs, _, stored = t.snapshot_inputs(spark, sf)
+    asked = t.query_vectors(spark, sf).withColumn("snapshot", F.explode(F.array(*[F.lit(s) for s in LANGS])))
+    return rf.dense_search(asked, stored, 100, by=["snapshot"])
+
+
+def snapshot_ndcg(spark: SparkSession, sf: str) -> DataFrame:
+    run = _snapshot_dense(spark, sf)
+    home = t.corpus(spark, sf).select("docid", "snapshot")
+    judged = t.qrels(spark, sf).join(home, "docid")
+    return _six(rf.ndcg_per_query(run, judged, by=["snapshot"], depth=100), "dcg", "idcg", "ndcg")
+
+
+def snapshot_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    run = written(_snapshot_dense(spark, sf))
+    turned = run.withColumn("rank", F.lit(101) - F.col("rank"))
+    return rf.rrf([run, turned], by=["snapshot"], depth=100)
 
 
 def _hybrid(spark: SparkSession, sf: str):
@@ -257,7 +309,7 @@ def _hybrid(spark: SparkSession, sf: str):
 
 
 def hybrid_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf).reranked
+    return _six(_hybrid(spark, sf).reranked, "score")
 
 
 def hybrid_ndcg(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,25 +346,32 @@ QUERIES = {
         search_top10,
         dense_topk,
         dense_topk_blocked,
+        dense_near_ties,
+        dense_grid,
         zero_based_rank,
         weighted_fusion,
         weighted_fusion_default,
+        weighted_fusion_repeats,
         rrf,
         rrf_derive_rank,
         rerank_drop,
         rerank_blank,
+        rerank_small_scores,
         rerank_from_embeddings,
         ndcg_per_query,
         ndcg_mean,
         ndcg_constant_score,
         ndcg_at_k_standard,
         qrels_map,
+        qrels_last_wins,
         coverage,
         training_pairs,
         training_batches,
         trec_lines,
         indexable_docs,
         snapshot_runs,
+        snapshot_ndcg,
+        snapshot_rrf,
         hybrid_pipeline,
         hybrid_ndcg,
         encode_documents,

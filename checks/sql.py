@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from checks.spark import NOISE
 from checks.tables import RUN_K
-from rankframe.functions.text import WHITESPACE, WHITESPACE_RUN
 
 LINE = "chr(10)"
+# Unicode white space, spelled out here so that the SQL does not share the engine's idea of it.
+CODES = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+WHITESPACE = "".join(map(chr, CODES))
+WHITESPACE_RUN = "[" + "".join(f"\\x{{{code:x}}}" for code in CODES) + "]+"
 CORPUS = f"""
 corpus as (
   select doc_id docid, split_part(text, {LINE}, 1) title,
@@ -58,7 +61,7 @@ def bm25(name: str, k: int) -> str:
   select qid, term, count(*) qtf from (select qid, unnest({words("query")}) term from queries) group by all),
 {name}_scores as (
   select qid, docid, round(sum(
-    qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score
+    qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) score
   from {name}_terms join postings using (term) join {name}_df using (term), {name}_stats group by all),
 {name} as ({ranked(f"{name}_scores", "score", k)})"""
 
@@ -70,12 +73,12 @@ def ranked(source: str, score: str, k: int | None = None, by: str = "qid") -> st
   from {source}{cut}"""
 
 
-def dense(name: str, k: int, half: bool = False, tie: str = "docid") -> str:
-    q, d = ("q.v[1:len(q.v) // 2]", "d.v[1:len(d.v) // 2]") if half else ("q.v", "d.v")
+def dense(name: str, k: int, weighted: bool = False, tie: str = "docid") -> str:
+    q, d = (f"list_transform({v}, lambda x, i: x * [1, 2, 4][(i - 1) % 3 + 1])" if weighted else v for v in ("q.v", "d.v"))
     return f"""
 {name} as (
-  select qid, docid, round(list_cosine_similarity({q}, {d}), 6) score,
-    row_number() over (partition by qid order by round(list_cosine_similarity({q}, {d}), 6) desc, {tie})::int
+  select qid, docid, round(list_cosine_similarity({q}, {d}), 12) score,
+    row_number() over (partition by qid order by round(list_cosine_similarity({q}, {d}), 12) desc, {tie})::int
       as "rank"
   from query_vectors q cross join vectors d qualify rank <= {k})"""
 
@@ -90,7 +93,7 @@ EXPERTS = ",\n".join(
         JUDGED_TOKENS,
         POSTINGS,
         dense("run_a", RUN_K),
-        dense("run_b", RUN_K, half=True),
+        dense("run_b", RUN_K, weighted=True),
         bm25("run_c", RUN_K),
     )
 )
@@ -103,7 +106,9 @@ fused_scores as (
   select qid, docid, round(
     coalesce(a.score, 0.0) * {a} + coalesce(b.score, 0.0) * {b} + coalesce(c.score, 0.0) * {c}, 10) fused_score
   from run_a a full join run_b b using (qid, docid) full join run_c c using (qid, docid))"""
-    return f"with {EXPERTS},\n{scores}\n{ranked('fused_scores', 'fused_score')}"
+    return f"with {EXPERTS},\n{scores},\nfused as ({ranked('fused_scores', 'fused_score')})" + (
+        ' select qid, docid, round(fused_score, 6) fused_score, "rank" from fused'
+    )
 
 
 RRF = f"""
@@ -117,7 +122,7 @@ rrf_run as ({ranked("rrf_scores", "rrf_score")})"""
 JACCARD = f"""
   select qid, docid, round(coalesce(
     len(list_intersect(list_distinct({words("query")}), list_distinct({words("coalesce(text, '')")})))
-    / nullif(len(list_distinct(list_concat({words("query")}, {words("coalesce(text, '')")}))), 0), 0), 6) score"""
+    / nullif(len(list_distinct(list_concat({words("query")}, {words("coalesce(text, '')")}))), 0), 0), 15) score"""
 
 
 def reranked(run: str, docs: str, how: str) -> str:
@@ -127,13 +132,14 @@ def reranked(run: str, docs: str, how: str) -> str:
 reranked as ({ranked(f"{run}_scores", "score")})"""
 
 
-KNOWN = "known as (select * from texts where docid in (select docid from qrels))"
+SPARSE = "sparse as (select qid, docid * 3 docid, \"rank\" from run)"
+SHOWN = ' select qid, docid, round(score, 6) score, "rank" from '
 
 
 def rerank(how: str) -> str:
     return (
-        with_(CORPUS, QUERIES, QRELS, VECTORS, TEXTS, KNOWN, dense("run", RUN_K), reranked("run", "known", how))
-        + " select qid, docid, score, \"rank\" from reranked"
+        with_(CORPUS, QUERIES, VECTORS, TEXTS, dense("run", RUN_K), SPARSE, reranked("sparse", "texts", how))
+        + f"{SHOWN}reranked"
     )
 
 
@@ -164,15 +170,22 @@ pairs as (
 
 SNAPSHOT_RUN = f"""
 near as (
-  select d.snapshot, q.qid, v.docid, round(list_cosine_similarity(q.v, v.v), 6) score
+  select d.snapshot, q.qid, v.docid, round(list_cosine_similarity(q.v, v.v), 12) score
   from query_vectors q join corpus h on h.docid = q.qid join corpus d on d.snapshot = h.snapshot
     join vectors v on v.docid = d.docid
   qualify row_number() over (partition by d.snapshot, q.qid order by score desc, v.docid) <= 100),
 candidates as (
   select n.snapshot, n.qid, n.docid, lower({strip("query")}) query, {TEXT} as text
   from near n join corpus c using (docid) join queries q using (qid)),
-scores as ({JACCARD.replace("select qid", "select snapshot, qid")} from candidates)
-{ranked("scores", "score", by="snapshot, qid")}"""
+scores as ({JACCARD.replace("select qid", "select snapshot, qid")} from candidates),
+run as ({ranked("scores", "score", by="snapshot, qid")})"""
+
+SNAPSHOT_DENSE = """
+dense_run as (
+  select c.snapshot, q.qid, d.docid, round(list_cosine_similarity(q.v, d.v), 12) score,
+    row_number() over (partition by c.snapshot, q.qid order by round(list_cosine_similarity(q.v, d.v), 12) desc, d.docid)
+      ::int as "rank"
+  from query_vectors q cross join vectors d join corpus c on c.docid = d.docid qualify "rank" <= 100)"""
 
 COUNTED = (
     with_(CORPUS, TEXTS) + f" select docid, length(text) chars, len({words('text')}) words from texts"
@@ -228,15 +241,15 @@ select term, part, n_parts, string_agg(docid || ':' || tf, ',' order by docid) p
 from (select *, (('0x' || substr(md5(docid::varchar), 1, 8))::bigint % n_parts)::int part
       from postings join parts using (term))
 group by all""",
-    "bm25_topk": with_(*BM25_JUDGED) + ' select qid, docid, score, "rank" from run',
+    "bm25_topk": with_(*BM25_JUDGED) + f"{SHOWN}run",
     "bm25_whole_corpus": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 200))
-    + ' select qid, docid, score, "rank" from run',
+    + f"{SHOWN}run",
     "search_top10": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 10))
-    + ' select qid, docid, score, "rank" from run',
-    "dense_topk": with_(VECTORS, dense("run", 200)) + " from run",
-    "dense_topk_blocked": with_(VECTORS, dense("run", 100, tie="docid desc")) + " from run",
+    + f"{SHOWN}run",
+    "dense_topk": with_(VECTORS, dense("run", 200)) + f"{SHOWN}run",
+    "dense_topk_blocked": with_(VECTORS, dense("run", 100, tie="docid desc")) + f"{SHOWN}run",
     "zero_based_rank": with_(VECTORS, dense("run", RUN_K))
-    + ' select qid, docid, score, ("rank" - 1)::int as "rank" from run',
+    + ' select qid, docid, round(score, 6) score, ("rank" - 1)::int as "rank" from run',
     "weighted_fusion": fused((0.8, 0.1, 0.1)),
     "weighted_fusion_default": fused((0.4, 0.4, 0.2)),
     "rrf": f"with {EXPERTS},\n{RRF} from rrf_run",
@@ -246,7 +259,7 @@ group by all""",
     "rerank_from_embeddings": with_(
         CORPUS, QUERIES, VECTORS, TEXTS, dense("run", RUN_K, tie="docid desc"), reranked("run", "texts", "left")
     )
-    + ' select qid, docid, score, "rank" from reranked',
+    + f"{SHOWN}reranked",
     "ndcg_per_query": with_(*BM25_JUDGED, ndcg("run")) + f" {SIX}",
     "ndcg_mean": with_(*BM25_JUDGED, ndcg("run")) + f" {MEAN}",
     "ndcg_constant_score": with_(
@@ -276,13 +289,13 @@ from best left join got using (qid)""",
     "qrels_map": with_(QRELS)
     + """
 select qid, string_agg(docid || ':' || relevance, ',' order by docid) judgments from qrels group by all""",
-    "coverage": with_(CORPUS, QRELS, VECTORS, TEXTS, KNOWN, dense("run", RUN_K))
+    "coverage": with_(CORPUS, QRELS, VECTORS, TEXTS, dense("run", RUN_K), SPARSE)
     + """
 select (select count(distinct docid) from qrels) judged_docs,
-  (select count(distinct docid) from qrels where docid in (select docid from known)) judged_docs_found,
-  (select count(*) from qrels where docid in (select docid from known)) qrels_kept,
-  (select count(*) from run where docid in (select docid from known)) pairs_prepared,
-  (select count(*) from run where docid not in (select docid from known)) pairs_missing""",
+  (select count(distinct docid) from qrels where docid in (select docid from texts)) judged_docs_found,
+  (select count(*) from qrels where docid in (select docid from texts)) qrels_kept,
+  (select count(*) from sparse where docid in (select docid from texts)) pairs_prepared,
+  (select count(*) from sparse where docid not in (select docid from texts)) pairs_missing""",
     "training_pairs": with_(CORPUS, QUERIES, QRELS, TEXTS, PAIRS) + " from pairs",
     "training_batches": with_(CORPUS, QUERIES, QRELS, TEXTS, PAIRS)
     + """,
@@ -296,12 +309,55 @@ select "position", batch, qid, docid, coalesce((
 from batched b""",
     "trec_lines": with_(*BM25_JUDGED)
     + """
-select qid || ' Q0 ' || docid || ' ' || "rank" || ' ' || score::decimal(38, 6) || ' bm25' as value from run""",
+select qid || ' Q0 ' || docid || ' ' || "rank" || ' ' || round(score, 6)::decimal(38, 6) || ' bm25' as value from run""",
     "indexable_docs": with_(CORPUS)
     + f" select to_json({{'id': docid, 'contents': {TEXT}}})::varchar as value from corpus",
-    "snapshot_runs": with_(CORPUS, QUERIES, VECTORS) + f",\n{SNAPSHOT_RUN}",
+    "snapshot_runs": with_(CORPUS, QUERIES, VECTORS)
+    + f",\n{SNAPSHOT_RUN}"
+    + ' select snapshot, qid, docid, round(score, 6) score, "rank" from run',
+    "dense_near_ties": with_(
+        """vectors as (
+  select vec_id docid, embedding::double[] v from embeddings union all
+  select vec_id + 1000000, list_transform(embedding::double[], lambda x, i:
+    case when i = 1 then x + 1e-8 * (1 + vec_id % 7) else x end) from embeddings),
+query_vectors as (select item_id qid, embedding::double[] v from benchmark join embeddings on vec_id = item_id)""",
+        dense("run", 20),
+    )
+    + ' select qid, docid, "rank" from run',
+    "dense_grid": with_(VECTORS, dense("run", 100)) + f"{SHOWN}run",
+    "weighted_fusion_repeats": fused((0.4, 0.4, 0.2)),
+    "rerank_small_scores": with_(
+        CORPUS, QUERIES, VECTORS, TEXTS, dense("run", RUN_K), reranked("run", "texts", "inner")
+    )
+    + ' select qid, docid, "rank" from reranked',
+    "qrels_last_wins": with_(QRELS) + " select qid, docid, greatest(relevance - 1, 0) relevance from qrels",
+    "snapshot_ndcg": with_(
+        CORPUS, QRELS, VECTORS, SNAPSHOT_DENSE, "placed_qrels as (select * from qrels join corpus using (docid))"
+    )
+    + """,
+judged as (
+  select r.snapshot, r.qid, r.docid, score s, coalesce(relevance, 0) rel
+  from dense_run r left join placed_qrels j on r.qid = j.qid and r.docid = j.docid and r.snapshot = j.snapshot),
+placed as (
+  select *, 1 / log2(1 + row_number() over (partition by snapshot, qid order by s desc, docid)) discount,
+    1 / log2(1 + row_number() over (partition by snapshot, qid order by rel desc)) ideal from judged),
+shared as (select *, avg(discount) over (partition by snapshot, qid, s) tied from placed)
+select snapshot, qid, round(sum(rel * tied), 6) dcg, round(sum(rel * ideal), 6) idcg,
+  round(sum(rel * tied) / sum(rel * ideal), 6) ndcg
+from shared group by all having sum(rel) > 0""",
+    "snapshot_rrf": with_(CORPUS, VECTORS, SNAPSHOT_DENSE)
+    + f""",
+rrf_scores as (
+  select snapshot, qid, docid, round(sum(1 / (r + 60)), 12) rrf_score
+  from (select snapshot, qid, docid, "rank" r from dense_run union all
+        select snapshot, qid, docid, 101 - "rank" from dense_run) group by all)
+{ranked("rrf_scores", "rrf_score", by="snapshot, qid")}""",
+    "snapshot_shared_queries": with_(CORPUS)
+    + """
+select snapshot, item_id::varchar qid, replace(text, chr(10), ' ') query
+from benchmark, (select distinct snapshot from corpus)""",
     "hybrid_pipeline": f"with {EXPERTS},\n{RRF},\n{TEXTS},\n{reranked('rrf_run', 'texts', 'inner')}"
-    + ' select qid, docid, score, "rank" from reranked',
+    + f"{SHOWN}reranked",
     "hybrid_ndcg": f"with {EXPERTS},\n{RRF},\n{TEXTS},\n{reranked('rrf_run', 'texts', 'inner')},"
     + f"{ndcg('reranked')} {MEAN}",
     "encode_documents": COUNTED,
@@ -312,13 +368,13 @@ select qid || ' Q0 ' || docid || ' ' || "rank" || ' ' || score::decimal(38, 6) |
     "read_qrels_files": with_(QRELS)
     + " select qid::varchar qid, '0' as iter, docid::varchar docid, relevance from qrels",
     "run_files": with_(VECTORS, dense("run", RUN_K))
-    + ' select qid::varchar qid, docid::varchar docid, score, "rank" from run',
+    + ' select qid::varchar qid, docid::varchar docid, round(score, 6) score, "rank" from run',
     "trec_files": with_(VECTORS, dense("run", RUN_K))
-    + """ select qid::varchar qid, docid::varchar docid, score, "rank", 'dense' tag from run""",
+    + """ select qid::varchar qid, docid::varchar docid, round(score, 6) score, "rank", 'dense' tag from run""",
     "embedding_files": with_(VECTORS)
     + " select docid::varchar docid, len(v)::int dims, round(list_sum(v), 6) total from vectors",
     "index_files": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 10))
-    + ' select qid, docid, score, "rank" from run',
+    + f"{SHOWN}run",
     "snapshot_files": with_(CORPUS)
     + f""",
 queries as (select item_id qid, replace(text, chr(10), ' ') query from benchmark),
@@ -331,10 +387,10 @@ stored as (
 counted_q as (select *, [length(t), len({words("t")})]::double[] v from asked),
 counted_d as (select *, [length(t), len({words("t")})]::double[] v from stored),
 near as (
-  select q.snapshot, qid, docid, query, text, round(list_cosine_similarity(q.v, d.v), 6) near
+  select q.snapshot, qid, docid, query, text, round(list_cosine_similarity(q.v, d.v), 12) near
   from counted_q q join counted_d d using (snapshot)
-  qualify row_number() over (partition by q.snapshot, qid order by near desc, docid) <= 20),
+  qualify row_number() over (partition by q.snapshot, qid order by near desc, docid) <= 100),
 scores as ({JACCARD.replace("select qid", "select snapshot, qid")} from near),
 run as ({ranked("scores", "score", by="snapshot, qid")})
-select qid, docid, score, "rank", 'e5-reranked' tag from run""",
+select qid, docid, round(score, 6) score, "rank", 'e5-reranked' tag from run""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rankframe import bm25_search, dense_search
 from rankframe.functions.sizing import spread
 
-RUN_K = 50
+RUN_K = 200
+"""Depth of every expert and of what is made from them."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +60,10 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries(spark, sf_dir).join(stored, "qid")
 
 
-def half(df: DataFrame) -> DataFrame:
-    """A second, weaker encoder: the first half of each vector."""
-    return df.withColumn("embedding", F.slice("embedding", 1, F.floor(F.size("embedding") / 2).cast("int")))
+def weighted(df: DataFrame) -> DataFrame:
+    """A second encoder: the whole vector, its dimensions weighted 1, 2, 4 in turn. Powers of two are exact in floats."""
+    weight = lambda i: F.element_at(F.array(*[F.lit(w).cast("float") for w in (1, 2, 4)]), i % 3 + 1)
+    return df.withColumn("embedding", F.transform("embedding", lambda x, i: x * weight(i)))
 
 
 def dense_run(spark: SparkSession, sf_dir: str, k: int = RUN_K) -> DataFrame:
@@ -74,6 +76,28 @@ def expert_runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     judged = qrels(spark, sf_dir)
     return [
         dense_search(asked, stored, RUN_K),
-        dense_search(half(asked), half(stored), RUN_K),
+        dense_search(weighted(asked), weighted(stored), RUN_K),
         bm25_search(queries(spark, sf_dir), corpus(spark, sf_dir), RUN_K, qrels=judged),
     ]
+
+
+def sparse_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense run with every id times three: some of its documents do not exist."""
+    return dense_run(spark, sf_dir).withColumn("docid", F.col("docid") * 3)
+
+
+def snapshot_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, queries and vectors by snapshot: a document lies in its language's, a query in that of the document
+    with its id."""
+    docs = corpus(spark, sf_dir)
+    home = docs.select("docid", "snapshot")
+    asked = query_vectors(spark, sf_dir).join(home.withColumnRenamed("docid", "qid"), "qid")
+    return docs, asked, vectors(spark, sf_dir).join(home, "docid")
+
+
+def near_tied_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector and a copy of it turned a little: cosines differ in the eighth decimal."""
+    stored = vectors(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    turned = F.transform("embedding", lambda x, i: F.when(i == 0, x + F.lit(1e-8) * (1 + F.col("docid") % 7)).otherwise(x))
+    moved = stored.select((F.col("docid") + 1_000_000).alias("docid"), turned.alias("embedding"))
+    return stored.unionByName(moved)

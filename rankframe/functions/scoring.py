@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.text import tokenize
 
-SCORE_DIGITS = 6
-"""Scores are rounded to this many decimals before ranking, so that the order in which a sum was added
-up cannot swap two documents whose scores are equal."""
+SUM_DIGITS = 9
+"""A sum over a document's terms is rounded to this many decimals, about eleven significant digits, so that the order
+in which it was added up cannot swap two documents whose scores are equal. Scores that are one value each are ranked
+as they are."""
 
 
-def rounded(score: Column) -> Column:
-    return F.round(score, SCORE_DIGITS)
+def rounded_sum(score: Column) -> Column:
+    return F.round(score, SUM_DIGITS)
 
 
 def idf(n_docs: Column, doc_freq: Column) -> Column:

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rankframe.functions.ranking import top_k
-from rankframe.functions.scoring import SCORE_DIGITS
+from rankframe.functions.ranking import top_k, written
 from rankframe.functions.sizing import BROADCAST_BYTES
 from rankframe.functions.text import normalize_query
 
@@ -26,7 +25,8 @@ BLOCK_QUERIES = 512
 FOUND_BYTES = 32
 """Size of one kept (score, document) entry."""
 CELL_BYTES = 256 * 1024 * 1024
-SCALE = 10**SCORE_DIGITS
+SCALE = 10**12
+"""Similarities are kept to twelve decimals: a block's shape may change what lies beyond them."""
 
 QueryGroups = dict[tuple, list[tuple[list, np.ndarray]]]
 """Per value of the ``by`` columns: chunks of query ids and their unit vectors."""
@@ -44,6 +44,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     lengths = column.value_lengths().to_numpy()
     if (lengths != lengths[0]).any():
         raise ValueError("stored vectors differ in length")
+    if not np.isfinite(flat).all():
+        raise ValueError("a stored vector has a value that is no finite number")
     rows = flat.reshape(len(column), int(lengths[0]))
     size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
@@ -175,8 +177,8 @@ def dense_search(
     task and the documents are scanned without a shuffle; more of them are cut into stripes that meet stripes of
     documents in a grid.
     """
-    if encoder is not None:
-        queries = queries.withColumn("embedding", encoder(fmt(F.col("query"))))
+    if encoder is not None:  # stored, so that the model runs once for each query
+        queries = written(queries.withColumn("embedding", encoder(fmt(F.col("query")))))
     by = list(by)
     asked = queries.select(*by, "qid", "embedding")
     extra = [] if tie == "docid" else [tie]

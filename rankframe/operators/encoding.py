@@ -49,12 +49,21 @@ def embeddings_or_compute(
     encoder: Callable[[Column], Column],
     text: str = "text",
     key: str | Sequence[str] = "docid",
+    partition: str | None = None,
 ) -> DataFrame:
-    """Vectors of ``df``'s documents, encoding and storing only those that ``path`` does not hold yet.
+    """Vectors of ``df``'s documents, encoding and storing only those that ``path`` does not hold yet. Vectors of ids
+    that are no longer in ``df`` stay in the store and out of the result. A column ``partition`` of the key names the
+    store's folders; then only the folders of ``df``'s values are read.
 
     A run that is cut short leaves what it committed; the next one goes on from there.
     """
     stored = _stored(df, path)
+    if partition and stored is not None:
+        present = [row[0] for row in df.select(partition).distinct().collect()]
+        stored = stored.withColumn(partition, F.col(partition).cast(df.schema[partition].dataType))
+        stored = stored.filter(F.col(partition).isin(present))
     missing = df if stored is None else df.join(stored.select(*_keys(key)), _keys(key), "left_anti")
-    encode(missing, encoder, text, key).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    new = encode(missing, encoder, text, key).write.mode("append")
+    (new.partitionBy(partition) if partition else new).parquet(path)
+    vectors = df.sparkSession.read.parquet(path)
+    return vectors.join(df.select(*_keys(key)), _keys(key), "left_semi").select(*_keys(key), "embedding")

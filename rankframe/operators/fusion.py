@@ -21,23 +21,23 @@ def _depth(runs: Sequence[DataFrame], depth: int | None) -> int | None:
     return None if depth is None else depth * len(runs)
 
 
-def _stacked(runs: Sequence[DataFrame]) -> DataFrame:
+def _stacked(runs: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """All runs below each other, partitioned by (query, document). Left to itself the union keeps the
     runs' partitioning by query, under which a heavy query is one task's work."""
-    return reduce(DataFrame.unionByName, runs).repartition("qid", "docid")
+    return reduce(DataFrame.unionByName, runs).repartition(*by, "qid", "docid")
 
 
-def _scores_side_by_side(runs: Sequence[DataFrame]) -> DataFrame:
+def _scores_side_by_side(runs: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """One row per (query, document) with a score column per expert, in one shuffle."""
-    experts = [run.select("qid", "docid", "score", F.lit(i).alias("expert")) for i, run in enumerate(runs)]
+    experts = [run.select(*by, "qid", "docid", "score", F.lit(i).alias("expert")) for i, run in enumerate(runs)]
     of_expert = [F.sum(F.when(F.col("expert") == i, F.col("score"))).alias(f"score_{i}") for i in range(len(runs))]
-    return _stacked(experts).groupBy("qid", "docid").agg(*of_expert)
+    return _stacked(experts, by).groupBy(*by, "qid", "docid").agg(*of_expert)
 
 
-def _scores_joined(runs: Sequence[DataFrame]) -> DataFrame:
+def _scores_joined(runs: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """The same as a chain of full outer joins, where repeated (query, document) rows multiply."""
-    named = [run.select("qid", "docid", F.col("score").alias(f"score_{i}")) for i, run in enumerate(runs)]
-    return reduce(lambda left, right: left.join(right, ["qid", "docid"], "full_outer"), named)
+    named = [run.select(*by, "qid", "docid", F.col("score").alias(f"score_{i}")) for i, run in enumerate(runs)]
+    return reduce(lambda left, right: left.join(right, [*by, "qid", "docid"], "full_outer"), named)
 
 
 def weighted_fusion(
@@ -46,23 +46,25 @@ def weighted_fusion(
     *,
     depth: int | None = None,
     unique: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Weighted sum of the experts' raw scores, 0.0 where an expert did not return a document.
 
     Nothing is cut off. ``depth`` is the k of the runs, where known. ``unique=False`` is for runs that
-    may hold a (query, document) more than once.
+    may hold a (query, document) more than once. Columns in ``by`` (a snapshot) are part of the key.
     """
     if len(runs) != len(weights):
         raise ValueError("one weight per run")
-    wide = (_scores_side_by_side if unique else _scores_joined)(runs)
+    wide = (_scores_side_by_side if unique else _scores_joined)(runs, by)
     filled = [F.coalesce(F.col(f"score_{i}"), F.lit(0.0)) for i in range(len(runs))]
-    fused = wide.select("qid", "docid", F.round(weighted_sum(filled, weights), FUSED_DIGITS).alias("fused_score"))
-    return with_rank(fused, "fused_score", depth=_depth(runs, depth) if unique else None)
+    fused = wide.select(*by, "qid", "docid", F.round(weighted_sum(filled, weights), FUSED_DIGITS).alias("fused_score"))
+    return with_rank(fused, "fused_score", by=[*by, "qid"], depth=_depth(runs, depth) if unique else None)
 
 
-def rrf(runs: Sequence[DataFrame], k: int = 60, *, depth: int | None = None) -> DataFrame:
-    """Reciprocal rank fusion. A run without a rank column is ranked by its score first."""
-    ranked = [run if "rank" in run.columns else with_rank(run, depth=depth) for run in runs]
-    terms = [run.select("qid", "docid", rrf_term(F.col("rank"), k).alias("term")) for run in ranked]
-    fused = _stacked(terms).groupBy("qid", "docid").agg(F.round(F.sum("term"), RRF_DIGITS).alias("rrf_score"))
-    return with_rank(fused, "rrf_score", depth=_depth(runs, depth))
+def rrf(runs: Sequence[DataFrame], k: int = 60, *, depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Reciprocal rank fusion. A run without a rank column is ranked by its score first. Columns in ``by`` are part of
+    the key."""
+    ranked = [run if "rank" in run.columns else with_rank(run, by=[*by, "qid"], depth=depth) for run in runs]
+    terms = [run.select(*by, "qid", "docid", rrf_term(F.col("rank"), k).alias("term")) for run in ranked]
+    fused = _stacked(terms, by).groupBy(*by, "qid", "docid").agg(F.round(F.sum("term"), RRF_DIGITS).alias("rrf_score"))
+    return with_rank(fused, "rrf_score", by=[*by, "qid"], depth=_depth(runs, depth))

@@ -35,16 +35,19 @@ def positives(qrels: DataFrame) -> DataFrame:
     return qrels.filter(F.col("relevance") > 0)
 
 
-def unique_judgments(qrels: DataFrame) -> DataFrame:
-    """One relevance per (query, document). Files keep no row order, so of several the highest counts."""
-    return qrels.groupBy("qid", "docid").agg(F.max("relevance").alias("relevance"))
+def unique_judgments(qrels: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """One relevance per (query, document): the last by the columns ``order`` (a file, a row number), and the highest
+    where they leave several. Files keep no row order, so without ``order`` the highest counts."""
+    last = F.max(F.struct(*order, "relevance"))["relevance"] if order else F.max("relevance")
+    return qrels.groupBy(*by, "qid", "docid").agg(last.alias("relevance"))
 
 
-def with_ids_of(docs: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+def with_ids_of(docs: DataFrame, ids: DataFrame, rows: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Documents named in ``ids``. A list of checked size is broadcast, so the corpus is filtered where it
     is read; ``rows`` is a proven bound on the list, which spares measuring it."""
-    ids = ids.select("docid").distinct()
-    return docs.join(broadcast_if_small(ids, rows=rows), "docid", "left_semi").select(*docs.columns)
+    keys = [*by, "docid"]
+    ids = ids.select(*keys).distinct()
+    return docs.join(broadcast_if_small(ids, rows=rows), keys, "left_semi").select(*docs.columns)
 
 
 def judged_corpus(docs: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import top_k
-from rankframe.functions.scoring import idf, rounded, tf_saturation
+from rankframe.functions.scoring import idf, rounded_sum, tf_saturation
 from rankframe.functions.sizing import fits_broadcast
 from rankframe.functions.text import assemble_text, tokenize
 from rankframe.operators.keys import judged_corpus, split_heavy
@@ -94,7 +94,7 @@ def _rank(matches: DataFrame, weights: DataFrame, k: int, k1: float, b: float) -
     the cut works inside a partition, and what crosses the network is k rows per query and task."""
     scored = matches.join(weights, "term").groupBy("qid", "docid", "dl")
     part = F.col("weight") * tf_saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    run = scored.agg(rounded(F.sum(part)).alias("score"))
+    run = scored.agg(rounded_sum(F.sum(part)).alias("score"))
     return top_k(run, k).select("qid", "docid", "score", "rank")
 
 

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import shuffle_partitions, with_rank, written
-from rankframe.functions.scoring import rounded
 from rankframe.functions.sizing import broadcast_if_small
 from rankframe.operators.keys import with_ids_of
 
 Scorer = Callable[[Column, Column], Column]
 
 
-def hydrate(run: DataFrame, queries: DataFrame, docs: DataFrame, missing: str = "drop") -> DataFrame:
+def hydrate(
+    run: DataFrame, queries: DataFrame, docs: DataFrame, missing: str = "drop", by: Sequence[str] = ()
+) -> DataFrame:
     """``(qid, docid, query, text)`` for each row of the run, spread evenly over the cluster.
 
     ``docs`` is ``(docid, text)``. A document without text is dropped, or kept with the empty text under
@@ -24,11 +25,15 @@ def hydrate(run: DataFrame, queries: DataFrame, docs: DataFrame, missing: str =
     """
     if missing not in ("drop", "blank"):
         raise ValueError("missing must be 'drop' or 'blank'")
-    pairs = written(run.select("qid", "docid"))
-    needed = with_ids_of(docs.select("docid", "text"), pairs)
-    texts = pairs.join(needed, "docid", "inner" if missing == "drop" else "left")
-    hydrated = texts.join(broadcast_if_small(queries.select("qid", "query")), "qid")
-    return for_scoring(hydrated.select("qid", "docid", "query", F.coalesce("text", F.lit("")).alias("text")))
+    by = list(by)
+    pairs = written(run.select(*by, "qid", "docid"))
+    needed = with_ids_of(docs.select(*by, "docid", "text"), pairs, by=by)
+    texts = pairs.join(needed, [*by, "docid"], "inner" if missing == "drop" else "left")
+    hydrated = texts.join(broadcast_if_small(queries.select(*by, "qid", "query")), [*by, "qid"])
+    hydrated = hydrated.select(*by, "qid", "docid", "query", F.coalesce("text", F.lit("")).alias("text"))
+    if hydrated.isEmpty() and not pairs.isEmpty():
+        raise ValueError("no pair of the run has a query and a text; are the ids of one kind?")
+    return for_scoring(hydrated, *by)
 
 
 def for_scoring(pairs: DataFrame, *by: str) -> DataFrame:
@@ -46,13 +51,17 @@ def rerank(
     *,
     query_format: Callable[[Column], Column] | None = None,
     depth: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Score every candidate of the run again and rank by that score. Nothing is cut off.
 
     ``scorer`` makes a column of (query, text): an expression or a model hook. ``depth`` is a proven bound
-    on the run's rows per query.
+    on the run's rows per query. Scores order the run as they are, however close. Columns in ``by`` (a snapshot) are
+    part of the key of run, queries and docs. A run none of whose pairs has both texts is an error, unless the run
+    itself is empty.
     """
-    pairs = hydrate(run, queries, docs, missing)
+    by = list(by)
+    pairs = hydrate(run, queries, docs, missing, by)
     query = F.col("query") if query_format is None else query_format(F.col("query"))
-    scored = pairs.select("qid", "docid", rounded(scorer(query, F.col("text"))).alias("score"))
-    return with_rank(scored, depth=depth)
+    scored = pairs.select(*by, "qid", "docid", scorer(query, F.col("text")).alias("score"))
+    return with_rank(scored, by=[*by, "qid"], depth=depth)

@@ -1,4 +1,4 @@
-"""Fusion, reciprocal rank fusion, reranking and evaluation as one lazy plan."""
+"""Fusion, reciprocal rank fusion, reranking and evaluation; runs and the reranked run are stored on the way."""
 
 from __future__ import annotations
 
@@ -31,12 +31,13 @@ def hybrid_pipeline(
     depth: int | None = None,
 ) -> Hybrid:
     """``fused`` stands by itself; ``rrf`` is what gets reranked, and ``ndcg`` judges the reranked run per
-    query. The runs are stored once, as both fusions read them. ``depth`` is their k, where known; it
+    query. The runs are stored once, as both fusions read them, and so is
+    the reranked run, so that the model scores a pair once. ``depth`` is their k, where known; it
     bounds every later step."""
     runs = [written(run) for run in runs]
     together = None if depth is None else depth * len(runs)
     by_rank = rrf(runs, depth=depth)
-    reranked = rerank(by_rank, queries, docs, scorer, depth=together)
+    reranked = written(rerank(by_rank, queries, docs, scorer, depth=together))
     return Hybrid(
         weighted_fusion(runs, weights, depth=depth),
         by_rank,

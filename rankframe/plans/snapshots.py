@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import with_rank, written
-from rankframe.functions.scoring import rounded
 from rankframe.functions.sizing import broadcast_if_small
 from rankframe.functions.text import PASSAGE_PREFIX, assemble_text, is_blank, normalize_query, strip_prefix
 from rankframe.operators.dense import dense_search
 from rankframe.operators.encoding import embeddings_or_compute
 from rankframe.operators.keys import dedupe_by_id
 from rankframe.operators.rerank import Scorer, for_scoring, rerank
-from rankframe.sources.readers import CORPUS_FILES, has_snapshots, read_snapshots
+from rankframe.sources.readers import CORPUS_FILES, read_snapshots, snapshot_names
 from rankframe.sources.writers import in_run_order, to_trec_lines
 
 RUN_TAG = "e5-reranked"
@@ -39,7 +37,7 @@ def snapshot_runs(
     hydrated = near.join(texts, ["snapshot", "docid"], "left").join(
         broadcast_if_small(asked), ["snapshot", "qid"]
     )
-    score = rounded(scorer(F.col("query"), F.coalesce("text", F.lit(""))))
+    score = scorer(F.col("query"), F.coalesce("text", F.lit("")))
     scored = for_scoring(hydrated, "snapshot").select("snapshot", "qid", "docid", score.alias("score"))
     return with_rank(scored, by=["snapshot", "qid"], depth=k)
 
@@ -63,15 +61,7 @@ def rerank_from_embeddings(
 
 def finished_snapshots(spark: SparkSession, out: str) -> list[str]:
     """Names of the snapshot folders that ``out`` already holds a run for."""
-    try:
-        if not has_snapshots(spark, out):
-            return []
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    stored = spark.read.schema("value string, snapshot string").text(out)
-    return [row["snapshot"] for row in stored.select("snapshot").distinct().collect()]
+    return snapshot_names(spark, out)
 
 
 def run_snapshots(
@@ -94,8 +84,8 @@ def run_snapshots(
     docs = dedupe_by_id(docs, ["snapshot", "docid"], ["file"])
     passage = assemble_text(strip_ends=True, lower=True, prefix=PASSAGE_PREFIX)
     texts = docs.filter(~is_blank(assemble_text())).select("snapshot", "docid", passage.alias("text"))
-    stored = embeddings_or_compute(texts, vectors or f"{out.rstrip('/')}-vectors", encoder, key=("snapshot", "docid"))
-    asked = queries.withColumn("embedding", encoder(normalize_query("query")))
+    stored = embeddings_or_compute(texts, vectors or f"{out.rstrip('/')}-vectors", encoder, key=("snapshot", "docid"), partition="snapshot")
+    asked = written(queries.withColumn("embedding", encoder(normalize_query("query"))))
     run = snapshot_runs(docs, asked, stored, scorer, k)
     lines = to_trec_lines(in_run_order(run, "snapshot"), tag, "snapshot")
     writer = lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,9 +127,10 @@ def read_snapshots(
     files: str = CORPUS_FILES,
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and queries with a ``snapshot`` column from ``root/documents/snapshot=…/*.jsonl`` and
-    ``root/queries/snapshot=…/*``. A dataset without snapshot folders is one snapshot, named ``snapshot``."""
+    ``root/queries/snapshot=…/*``. Queries outside such folders belong to every snapshot of the documents. A
+    dataset without snapshot folders is one snapshot, named ``snapshot``."""
     folder = f"{root}/documents"
-    partitioned = has_snapshots(spark, folder)
+    partitioned = of_docs = has_snapshots(spark, folder)
     lines = spark.read.option("pathGlobFilter", files)
     lines = lines.schema("value string, snapshot string" if partitioned else "value string").text(folder)
     lines = lines.select("*", F.col("_metadata.file_path").alias("file"))
@@ -138,7 +140,25 @@ def read_snapshots(
     partitioned = has_snapshots(spark, folder)
     schema = f"{QUERY_SCHEMA}, snapshot string" if partitioned else QUERY_SCHEMA
     queries = _by_snapshot(_delimited(spark, "\t").schema(schema).csv(folder), partitioned, snapshot, skip)
-    return docs, queries.withColumn("query", F.coalesce("query", F.lit("")))
+    queries = queries.withColumn("query", F.coalesce("query", F.lit("")))
+    if partitioned and not of_docs:
+        raise ValueError("queries lie in snapshot folders, documents do not")
+    if of_docs and not partitioned:  # one set of queries for every snapshot
+        queries = queries.drop("snapshot").withColumn("snapshot", F.explode(F.lit(snapshot_names(spark, root, skip))))
+    return docs, queries
+
+
+def snapshot_names(spark: SparkSession, path: str, skip: Sequence[str] = ()) -> list[str]:
+    """Names of the ``snapshot=…`` folders under ``path``, or under its ``documents``, from the folder list alone."""
+    jvm = spark._jvm
+    found = set()
+    for place in (f"{path}/documents", path):
+        folder = jvm.org.apache.hadoop.fs.Path(place)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(folder):
+            names = (entry.getPath().getName() for entry in files.listStatus(folder) if entry.isDirectory())
+            found |= {unquote(name.removeprefix("snapshot=")) for name in names if name.startswith("snapshot=")}
+    return sorted(found - set(skip))
 
 
 def read_index(spark: SparkSession, path: str) -> Index:

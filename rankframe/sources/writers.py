@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import shuffle_partitions
-from rankframe.functions.scoring import SCORE_DIGITS
 from rankframe.operators.lexical import Index, doc_freq
 
 
+LINE_DIGITS = 6
+"""Decimals of a score in a run line. The rank beside it keeps the order of scores that agree in them."""
+
+
 def global_order(run: DataFrame, score: str = "score") -> DataFrame:
     return run.orderBy("qid", F.desc(score), "docid")
 
 
 def write_run(run: DataFrame, path: str) -> None:
-    """CSV with a header in each part file, replacing what was there."""
-    run.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header in each part file, in run order where the run has ranks, replacing what was there."""
+    (in_run_order(run) if "rank" in run.columns else run).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_embeddings(embeddings: DataFrame, path: str) -> None:
@@ -24,10 +27,18 @@ def write_embeddings(embeddings: DataFrame, path: str) -> None:
 
 
 def to_trec_lines(run: DataFrame, tag: str, *keep: str) -> DataFrame:
-    """``value``: ``qid Q0 docid rank score tag``, the score in plain decimals."""
-    score = F.col("score").cast(f"decimal(38,{SCORE_DIGITS})").cast("string")
-    parts = [F.col("qid").cast("string"), F.lit("Q0"), F.col("docid").cast("string"), F.col("rank").cast("string")]
-    return run.select(*keep, F.concat_ws(" ", *parts, score, F.lit(tag)).alias("value"))
+    """``value``: ``qid Q0 docid rank score tag``, the score in plain decimals. A null in one of them is an error."""
+
+    def field(name: str, text: Column) -> Column:
+        refused = F.raise_error(F.lit(f"null {name} in a run")).cast("string")
+        return F.coalesce(text, refused)
+
+    score = F.col("score").cast(f"decimal(38,{LINE_DIGITS})").cast("string")
+    named = {name: F.col(name).cast("string") for name in ("qid", "docid", "rank")} | {"score": score}
+    qid, docid, rank, score = (field(name, text) for name, text in named.items())
+    space = F.lit(" ")
+    line = F.concat(qid, F.lit(" Q0 "), docid, space, rank, space, score, F.lit(f" {tag}"))
+    return run.select(*keep, line.alias("value"))
 
 
 def in_run_order(run: DataFrame, *by: str) -> DataFrame:
@@ -43,12 +54,14 @@ def write_trec_run(run: DataFrame, path: str, tag: str) -> None:
 
 
 def indexable(docid: Column | str = "docid", title: Column | str = "title", abstract: Column | str = "abstract") -> Column:
-    """``{"id": …, "contents": title + " " + abstract}``; a missing abstract is empty, a missing title an error."""
+    """``{"id": …, "contents": title + " " + abstract}``; a missing title is an error, and so is a null
+    abstract: give the empty string where the field is missing."""
     title = F.col(title) if isinstance(title, str) else title
     abstract = F.col(abstract) if isinstance(abstract, str) else abstract
     docid = F.col(docid) if isinstance(docid, str) else docid
     refused = F.raise_error(F.concat(F.lit("no title in document "), docid.cast("string"))).cast("string")
-    contents = F.concat(F.coalesce(title, refused), F.lit(" "), F.coalesce(abstract, F.lit("")))
+    no_abstract = F.raise_error(F.concat(F.lit("null abstract in document "), docid.cast("string"))).cast("string")
+    contents = F.concat(F.coalesce(title, refused), F.lit(" "), F.coalesce(abstract, no_abstract))
     return F.to_json(F.struct(docid.alias("id"), contents.alias("contents")))
 
 

@@ -16,7 +16,7 @@ def con():
     return tables_in(SF)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(checked.QUERIES))
 def test_same_as_sql(spark, con, name):
     n, wrong = differences(spark, con, SF, name)
     assert not wrong and n > 0
@@ -39,7 +39,7 @@ def test_bm25_cuts_before_the_shuffle_by_query(spark):
     assert not shuffles, "scores must be summed where the documents lie"
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - {"dense_topk", "dense_topk_blocked"}))
+@pytest.mark.parametrize("name", sorted(set(checked.QUERIES) - {"dense_topk", "dense_topk_blocked"}))
 def test_no_cross_join(spark, name):
     text = plan(checked.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text

@@ -108,3 +108,18 @@ def test_encoder_and_format(spark):
     asked = spark.createDataFrame([("1", "AAA"), ("2", " ooa")], "qid string, query string")
     run = dense_search(asked, stored, 1, encoder=model_encoder(load_letters), fmt=lambda c: F.lower(c))
     assert [(r["qid"], r["docid"]) for r in run.orderBy("qid").collect()] == [("1", "a"), ("2", "o")]
+
+
+def test_close_angles_keep_their_order(spark):
+    angles = {"a": 8e-4, "b": 4e-4, "c": 1e-4}
+    stored = [(name, [float(np.cos(x)), float(np.sin(x))]) for name, x in angles.items()]
+    docs = spark.createDataFrame(stored, "docid string, embedding array<double>")
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, embedding array<double>")
+    assert [r["docid"] for r in dense_search(query, docs, 3).orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+def test_vectors_with_nan_are_refused(spark):
+    docs = spark.createDataFrame([("a", [float("nan"), 1.0])], "docid string, embedding array<double>")
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, embedding array<double>")
+    with pytest.raises(Exception, match="no finite number"):
+        dense_search(query, docs, 3).collect()

@@ -90,3 +90,20 @@ def test_noise_is_the_first_by_hash(spark, monkeypatch, n, digits):
     others = sorted(({f"d{i}" for i in range(300)} - judged), key=lambda d: hashlib.md5(f"9|{d}".encode()).hexdigest())
     got = judged_plus_noise(docs, qrels, n, seed=9)
     assert {r["docid"] for r in got.collect()} == judged | set(others[:n]) and got.columns == docs.columns
+
+
+def test_small_scores_keep_their_order(spark):
+    scores = {"a": 1e-8, "b": 2e-7, "c": 3e-7}
+    run = spark.createDataFrame([("q", d) for d in scores], "qid string, docid string")
+    queries = spark.createDataFrame([("q", "x")], "qid string, query string")
+    docs = spark.createDataFrame([(d, str(s)) for d, s in scores.items()], "docid string, text string")
+    ranked = rerank(run, queries, docs, lambda query, text: text.cast("double")).orderBy("rank").collect()
+    assert [(r["docid"], r["score"]) for r in ranked] == [("c", 3e-7), ("b", 2e-7), ("a", 1e-8)]
+
+
+def test_rerank_without_a_usable_pair_is_an_error(spark):
+    run = spark.createDataFrame([("q", "1.0")], "qid string, docid string")
+    queries = spark.createDataFrame([("q", "x")], "qid string, query string")
+    docs = spark.createDataFrame([("1", "text")], "docid string, text string")
+    with pytest.raises(ValueError, match="ids of one kind"):
+        rerank(run, queries, docs, lambda query, text: F.length(text).cast("double"))

@@ -22,6 +22,7 @@ from rankframe.sources.readers import (
 from rankframe.sources.writers import (
     global_order,
     to_indexable,
+    to_trec_lines,
     write_embeddings,
     write_index,
     write_indexable,
@@ -127,12 +128,33 @@ def test_embeddings_round_trip(spark, tmp_path, rows):
 
 
 def test_indexable(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Big \"T\"", None), (2, "t", "Ab\n")], "docid long, title string, abstract string")
+    docs = spark.createDataFrame([(1, "Big \"T\"", ""), (2, "t", "Ab\n")], "docid long, title string, abstract string")
     write_indexable(docs, str(tmp_path / "out"))
     lines = {r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()}
     assert [json.loads(x) for x in sorted(lines)] == [{"id": 1, "contents": "Big \"T\" "}, {"id": 2, "contents": "t Ab\n"}]
     with pytest.raises(Exception, match="no title"):
         to_indexable(docs.withColumn("title", F.lit(None).cast("string"))).collect()
+    with pytest.raises(Exception, match="null abstract in document"):
+        to_indexable(docs.withColumn("abstract", F.lit(None).cast("string"))).collect()
+
+
+def test_run_line_refuses_nulls(spark):
+    run = spark.createDataFrame([("q", "d", 1, None)], "qid string, docid string, rank int, score double")
+    with pytest.raises(Exception, match="null score in a run"):
+        to_trec_lines(run, "t").collect()
+
+
+def test_shared_queries_belong_to_every_snapshot(spark, tmp_path, rows):
+    for name in ("2024-11", "2025-01"):
+        folder = tmp_path / "documents" / f"snapshot={name}"
+        folder.mkdir(parents=True)
+        (folder / "d.jsonl").write_text(json.dumps({"id": name, "title": "t"}))
+    (tmp_path / "queries").mkdir()
+    (tmp_path / "queries" / "q.txt").write_text("q1\tshared\n")
+    _, queries = read_snapshots(spark, str(tmp_path))
+    assert rows(queries, "snapshot", "qid") == [("2024-11", "q1"), ("2025-01", "q1")]
+    _, queries = read_snapshots(spark, str(tmp_path), skip=["2024-11"])
+    assert rows(queries, "snapshot", "qid") == [("2025-01", "q1")]
 
 
 def test_snapshots_keep_their_names(spark, tmp_path, rows):
