@@ -30,7 +30,7 @@ MAX_GRAMS = 4_000_000
 FREQUENT_WORDS = 1 << 18
 """Most frequent words whose counts are broadcast; counts of all others are joined."""
 
-HELD_WORDS, HELD_GRAMS = 400_000, 2_000_000
+HELD_WORDS, HELD_GRAMS = 300_000, 1_500_000
 
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -210,15 +210,15 @@ _ARROW = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
 def _scored(source: DataFrame, trie: Trie, low: int, high: int, order: int, hot: dict[bytes, int], n_ends: int) -> DataFrame:
     """(_row, _text, _id) with the trie's part of the score, what the broadcast words give, and the other words."""
-    shared_trie, shared_hot = _shared(source, trie), _shared(source, pickle.dumps(hot))
+    logs = {word: float(np.log10(n + 1)) for word, n in hot.items()}
+    shared_trie, shared_hot = _shared(source, trie), _shared(source, pickle.dumps(logs))
     h1, h2 = hash_pair(F.coalesce("_text", F.lit("")))
     source = source.select("_row", "_id", h1.alias("t1"), h2.alias("t2"), "_text")
     made = [("n_tokens", T.LongType()), ("hot_known", T.LongType()), ("hot_log", T.DoubleType()), ("ppm", T.DoubleType()), ("rare", _RARE)]
     schema = T.StructType([*[source.schema[c] for c in source.columns[:-1]], *[T.StructField(*m) for m in made]])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared_trie.value, pickle.loads(shared_hot.value)
-        logs = {word: float(np.log10(n + 1)) for word, n in table.items()}
+        model, logs = shared_trie.value, pickle.loads(shared_hot.value)
         end_log = float(np.log10(n_ends + 1))
         for part in parts:
             bodies, tokens, known, log, rare = [], [], [], [], []

@@ -10,7 +10,7 @@ import pandas as pd
 END = b"\xff"
 """Ends a text and fills the context before its first byte; UTF-8 never has this byte."""
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U64 = np.uint64
 
 
@@ -68,8 +68,8 @@ def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """Contexts of up to ``order`` bytes with the symbols seen after them, from the counts of the longest grams.
 
-    Escape method C: in a context with n occurrences of d symbols, a symbol of count c has c / (n + d) and the escape
-    d / (n + d). After an escape the symbols of the longer context are excluded from n and d. Every symbol of a
+    Escape method D: in a context with n occurrences of d symbols, a symbol of count c has (2c - 1) / 2n and the escape
+    d / 2n. After an escape the symbols of the longer context are excluded from n and d. Every symbol of a
     context is also one of its shorter contexts, so what an escape leaves over depends on the longer context alone
     and is a number kept with it. Below the empty context all bytes not seen at all share what is left.
     """
@@ -93,9 +93,9 @@ class Trie:
             n = np.bincount(node, weights=count, minlength=len(contexts))
             d = np.bincount(node, minlength=len(contexts)).astype(float)
             with np.errstate(divide="ignore", invalid="ignore"):
-                self.log_total.append(np.log10(n + d))
-                self.log_escape.append(np.log10(d) - np.log10(n + d))
-                self.log_count.append(np.log10(count))
+                self.log_total.append(np.log10(2 * n))
+                self.log_escape.append(np.log10(d) - np.log10(2 * n))
+                self.log_count.append(np.log10(2 * count - 1))
                 if below is None:
                     left, none, down = 256.0 - d, np.zeros(len(contexts)), np.zeros(len(contexts))
                     self.log_left.append(np.log10(np.maximum(left, 1)))
@@ -106,15 +106,16 @@ class Trie:
                     parent = np.searchsorted(b_contexts, contexts & _mask(j - 1))
                     n_left = b_n[parent] - np.bincount(node, weights=in_parent, minlength=len(contexts))
                     d_left = b_d[parent] - d
-                    escape = np.where(d_left > 0, np.log10(d_left) - np.log10(n_left + d_left), 0.0)
+                    escape = np.where(d_left > 0, np.log10(d_left) - np.log10(2 * n_left), 0.0)
                     down = escape + b_down[parent]
-                    self.log_left.append(np.log10(np.maximum(n_left + d_left, 1)))
+                    self.log_left.append(np.log10(np.maximum(2 * n_left, 1)))
                     self.escapes_below.append(down)
             self.keys.append(level)
             self.contexts.append(contexts)
             below = (level, count, contexts, n, d, down)
         node = np.searchsorted(self.contexts[order], self.keys[order] >> U64(8))
         self._whole = self.log_count[order] - self.log_total[order][node]
+        self.log_count[order] = self.log_total[order] = np.zeros(0)  # a gram of the full length is looked up whole
 
     @property
     def bytes(self) -> int:
@@ -145,10 +146,11 @@ class Trie:
             key_at, found = self._find(self.keys[j], gram)
             node, known = self._find(self.contexts[j], gram >> U64(8))
             new = known & ~started[todo]
-            whole, later = found & new, found & ~new
-            cost[todo[whole]] = self.log_count[j][key_at[whole]] - self.log_total[j][node[whole]]
-            t = todo[later]
-            cost[t] += start_down[t] - long_down[t] + self.log_count[j][key_at[later]] - long_left[t]
+            if j < self.order:
+                whole, later = found & new, found & ~new
+                cost[todo[whole]] = self.log_count[j][key_at[whole]] - self.log_total[j][node[whole]]
+                t = todo[later]
+                cost[t] += start_down[t] - long_down[t] + self.log_count[j][key_at[later]] - long_left[t]
             enter = new & ~found
             t = todo[enter]
             cost[t] = self.log_escape[j][node[enter]]
