@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.llm.columns import ascii_lower, packed
+from rankframe.llm.skew import skew_join
 
 NGRAMS = (3, 4)
 FEATURES = 1 << 14
@@ -75,7 +76,7 @@ def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set(F.struct(F.char_length("rule").alias("size"), "rule", "rule_path", "verdict")), asc=False).alias("found"))
     )
     fit = F.get(F.filter("found", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    return df.join(found, "host", "left").withColumn(
+    return skew_join(df, found, ["host"], "left").withColumn(
         "fit", F.when(fit.isNotNull(), F.struct(fit["rule"].alias("rule"), fit["verdict"].alias("verdict")))
     ).drop("found")
 
