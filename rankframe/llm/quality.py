@@ -1,8 +1,8 @@
 """Quality rules: per-document base rules, and lines that too many documents of one host share.
 
 A line above its host's limit counts as removed; a document that keeps too few of its words is depleted and rejected.
-Two things are not boilerplate and never count: exact copies of a text are one document of their host, and lines of
-more than ``max_line_chars`` are passages, which near-duplicate detection settles by keeping one of a group.
+Exact copies of a text are one document of their host. Lines count whatever their length, as they travel as hashes.
+In lines of more than ``LONG_LINE`` characters only whole numbers are folded: digits inside words tell passages apart.
 """
 
 from __future__ import annotations
@@ -20,12 +20,16 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MADE = (*BASE, "base_failed", "n_frequent_words", "kept")
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
-MIN_DOCS, MIN_PERCENT, MAX_LINE_CHARS, MIN_LEFT_PERCENT = 10, 5, 200, 30
+MIN_DOCS, MIN_PERCENT, MIN_LEFT_PERCENT = 10, 5, 30
+LONG_LINE = 200
 
 
 def line_key(line: Column) -> Column:
-    """The form in which lines are compared: A-Z lower-cased, digits as 0, ASCII white space off both ends."""
-    return strip_spaces(F.translate(ascii_lower(line), "123456789", "000000000"))
+    """The form in which lines are compared: A-Z lower-cased, ASCII white space off both ends, and digits as 0, or in
+    lines of more than ``LONG_LINE`` characters each number that is no part of a word."""
+    low = ascii_lower(line)
+    numbers = F.regexp_replace(low, r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])", "0")
+    return strip_spaces(F.when(F.char_length(line) <= LONG_LINE, F.translate(low, "123456789", "000000000")).otherwise(numbers))
 
 
 def _starts_repeated(ordered: Column) -> Column:
@@ -55,17 +59,14 @@ def with_base(df: DataFrame, words: str, text: str) -> DataFrame:
     return df.withColumns({name: value.cast("long") for name, value in made.items()}).drop("_ordered", "_solid", "_starts")
 
 
-def frequent_words(df: DataFrame, min_docs: int, min_percent: float, max_line_chars: int) -> DataFrame:
+def frequent_words(df: DataFrame, min_docs: int, min_percent: float) -> DataFrame:
     """Words in lines above the limits, per distinct (host, t1, t2) of ``df`` (host, text); only texts with any.
 
     A line is above the limit if it stands in ``min_docs`` distinct documents of the host and in ``min_percent`` of
     them. Texts are collapsed by hash first, lines counted with a partial sum, and only lines in ``min_docs``
     documents meet the hosts' totals, so neither a hot host nor a common line makes a long group.
     """
-    keys = F.transform(
-        F.filter(F.split("text", "\n"), lambda line: F.char_length(line) <= max_line_chars),
-        lambda line: F.struct(line_key(line).alias("key"), F.size(words_of(line)).alias("n")),
-    )
+    keys = F.transform(F.split("text", "\n"), lambda line: F.struct(line_key(line).alias("key"), F.size(words_of(line)).alias("n")))
     lines = F.transform(F.filter(keys, lambda line: line["n"] > 0), lambda line: F.struct(*hash_pair(line["key"]), line["n"].alias("n")))
     texts = df.select("host", *_text_key(), lines.alias("lines")).groupBy("host", "t1", "t2").agg(F.any_value("lines").alias("lines"))
     once = F.array_distinct(F.transform("lines", lambda line: F.struct(line["h1"].alias("h1"), line["h2"].alias("h2"))))
@@ -97,7 +98,6 @@ def judge(
     keep: tuple[str, ...] | None = None,
     min_docs: int = MIN_DOCS,
     min_percent: float = MIN_PERCENT,
-    max_line_chars: int = MAX_LINE_CHARS,
     min_left_percent: float = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """The columns ``keep`` of ``df`` (all by default) with those of ``MADE``; columns of those names are replaced.
@@ -112,7 +112,7 @@ def judge(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"),
     )
-    frequent = frequent_words(rows, min_docs, min_percent, max_line_chars)
+    frequent = frequent_words(rows, min_docs, min_percent)
     base = with_base(rows.withColumns({"_words": words_of(F.col("text"))}), "_words", "text").select("_row", "host", *_text_key(), *BASE)
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     n_frequent = F.coalesce("n_frequent_words", F.lit(0))

@@ -103,6 +103,15 @@ def test_quality_rejects_depleted_and_keeps_copies(spark):
     assert kept == {r[0] for r in rich + copies + elsewhere}
 
 
+def test_quality_counts_long_lines(spark):
+    notice = " ".join(f"legal{j}" for j in range(60))
+    assert len(notice) > 200
+    rows = [(i, f"{notice} {2000 + i}\nown{'i' * i} tail", "a") for i in range(10)] + [(100, f"{notice} 2000\nown tail", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_frequent_words"] for r in quality.judge(df).collect()} == {**dict.fromkeys(range(10), 61), 100: 0}
+    assert [r["doc_id"] for r in quality.kept_rows(df).collect()] == [100]
+
+
 ITEMS = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "Solo"), ("c", None), (None, "!!"), ("d", "short item here"), ("d", "short item here")]
 
 
