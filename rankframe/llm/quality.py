@@ -20,7 +20,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MADE = (*BASE, "base_failed", "n_frequent_words", "kept")
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
-MIN_DOCS, MIN_PERCENT, MIN_LEFT_PERCENT = 10, 5, 30
+MIN_DOCS, MIN_LEFT_PERCENT = 10, 30
 LONG_LINE = 200
 
 
@@ -59,25 +59,19 @@ def with_base(df: DataFrame, words: str, text: str) -> DataFrame:
     return df.withColumns({name: value.cast("long") for name, value in made.items()}).drop("_ordered", "_solid", "_starts")
 
 
-def frequent_words(df: DataFrame, min_docs: int, min_percent: float) -> DataFrame:
+def frequent_words(df: DataFrame, min_docs: int) -> DataFrame:
     """Words in lines above the limits, per distinct (host, t1, t2) of ``df`` (host, text); only texts with any.
 
-    A line is above the limit if it stands in ``min_docs`` distinct documents of the host and in ``min_percent`` of
-    them. Texts are collapsed by hash first, lines counted with a partial sum, and only lines in ``min_docs``
-    documents meet the hosts' totals, so neither a hot host nor a common line makes a long group.
+    A line is above the limit if it stands in ``min_docs`` distinct documents of the host, however large the host is.
+    Texts are collapsed by hash first and lines counted with a partial sum, so neither a hot host nor a common line
+    makes a long group.
     """
     keys = F.transform(F.split("text", "\n"), lambda line: F.struct(line_key(line).alias("key"), F.size(words_of(line)).alias("n")))
     lines = F.transform(F.filter(keys, lambda line: line["n"] > 0), lambda line: F.struct(*hash_pair(line["key"]), line["n"].alias("n")))
     texts = df.select("host", *_text_key(), lines.alias("lines")).groupBy("host", "t1", "t2").agg(F.any_value("lines").alias("lines"))
     once = F.array_distinct(F.transform("lines", lambda line: F.struct(line["h1"].alias("h1"), line["h2"].alias("h2"))))
     counts = texts.select("host", F.inline(once)).groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
-    totals = texts.groupBy("host").agg(F.count(F.lit(1)).alias("of_docs"))
-    frequent = (
-        counts.filter(F.col("n_docs") >= min_docs)
-        .join(totals, "host")
-        .filter(F.col("n_docs") * 100 >= F.col("of_docs") * min_percent)
-        .select("host", "h1", "h2")
-    )
+    frequent = counts.filter(F.col("n_docs") >= min_docs).select("host", "h1", "h2")
     lines_of = texts.select("host", "t1", "t2", F.inline("lines"))
     return (
         skew_join(lines_of, frequent, ["host", "h1", "h2"])
@@ -97,7 +91,6 @@ def judge(
     host: str = "source",
     keep: tuple[str, ...] | None = None,
     min_docs: int = MIN_DOCS,
-    min_percent: float = MIN_PERCENT,
     min_left_percent: float = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """The columns ``keep`` of ``df`` (all by default) with those of ``MADE``; columns of those names are replaced.
@@ -112,7 +105,7 @@ def judge(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"),
     )
-    frequent = frequent_words(rows, min_docs, min_percent)
+    frequent = frequent_words(rows, min_docs)
     base = with_base(rows.withColumns({"_words": words_of(F.col("text"))}), "_words", "text").select("_row", "host", *_text_key(), *BASE)
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     n_frequent = F.coalesce("n_frequent_words", F.lit(0))

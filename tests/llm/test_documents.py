@@ -112,6 +112,15 @@ def test_quality_counts_long_lines(spark):
     assert [r["doc_id"] for r in quality.kept_rows(df).collect()] == [100]
 
 
+def test_quality_rejects_a_small_cluster_of_a_hot_host(spark):
+    menu = " ".join(f"menu item {chr(97 + j)}" for j in range(20))
+    poor = [(i, f"{menu}\n{'x' * (i + 1)} tail", "hot") for i in range(12)]
+    other = [(100 + i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{'y' * j}" for j in range(60)), "hot") for i in range(400)]
+    df = spark.createDataFrame(poor + other, "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in quality.judge(df).filter("n_frequent_words > 0").collect()} == {r[0] for r in poor}
+    assert quality.kept_rows(df).count() == len(other)
+
+
 ITEMS = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "Solo"), ("c", None), (None, "!!"), ("d", "short item here"), ("d", "short item here")]
 
 
