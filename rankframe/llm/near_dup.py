@@ -11,6 +11,7 @@ out pairs far below the threshold; every link is confirmed on full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,24 +27,38 @@ from rankframe.llm.shingles import MinHashes, WordHashes, digest, estimated, shi
 from rankframe.llm.skew import skew_join
 
 PERCENT = 85
-TREES, DEPTH, BRANCHES, LEAF = 4, 3, 2, 64
+DEPTH, BRANCHES, LEAF = 3, 2, 64
+MISSED = 2.1e-5
 """Two sets of similarity 0.85 miss each other in all nodes of the first depth with probability 0.15⁸, about 3e-7; where
-their shared nodes are large and branch again, at each further depth with 0.15² more in a tree."""
+their shared nodes are large and branch again, at each further depth with 0.15² more in a tree. ``MISSED`` bounds the
+probability for nodes that are large at every depth, at the threshold itself."""
 
 SKETCH = 96
-MARGIN = 0.22
-"""A pair whose estimate is more than this below the threshold is dropped: six standard deviations at 96 functions."""
+DEVIATIONS = 6
+"""A pair whose estimate is more than so many standard deviations below the threshold is dropped."""
 
 BLOCK = 512
 BUCKETS = 1 << 20
 MADE = ("n_shingles", "component_id", "kept")
 
 
-def sketched(df: DataFrame, text: str, row_id: str) -> DataFrame:
+def trees_for(percent: int) -> int:
+    """Trees that keep the probability of a miss under ``MISSED``: 4 at 85 %, 5 at 80 %; as many as the sketch has values for."""
+    in_tree = 1 - (1 - (1 - percent / 100) ** BRANCHES) ** DEPTH
+    most = SKETCH // (DEPTH * BRANCHES)
+    return next((n for n in range(4, most) if in_tree**n <= MISSED), most)
+
+
+def margin(percent: int) -> float:
+    """``DEVIATIONS`` of an estimate at the threshold, rounded up: 0.22 at 85 %, 0.25 at 80 %."""
+    return math.ceil(100 * DEVIATIONS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)) / 100
+
+
+def sketched(df: DataFrame, text: str, row_id: str, trees: int) -> DataFrame:
     """(doc_id, _id, t1, t2, cid, n, tokens, sketch) of every row: cid names the shingle set, null if it is empty."""
     t1, t2 = hash_pair(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     source = df.select(F.col(f"`{row_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("_id"), t1.alias("t1"), t2.alias("t2"), F.col(f"`{text}`").alias("_text"))
-    n_tokens = TREES * DEPTH * BRANCHES
+    n_tokens = trees * DEPTH * BRANCHES
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minwise = WordHashes(), MinHashes(SKETCH)
@@ -64,7 +79,7 @@ def sketched(df: DataFrame, text: str, row_id: str) -> DataFrame:
     return source.mapInArrow(batches, schema)
 
 
-def nodes(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
+def nodes(classes: DataFrame, trees: int, leaf: int = LEAF) -> DataFrame:
     """(node, cid) of all nodes with two classes or more: leaves of every depth and dense nodes of the last."""
 
     def branch(rows: DataFrame, depth: int) -> DataFrame:
@@ -75,7 +90,7 @@ def nodes(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
         )
         return rows.select(F.explode(F.array_distinct(picks)).alias("node"), "tree", "cid")
 
-    roots = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).withColumn("node", F.col("tree").cast("long"))
+    roots = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("node", F.col("tree").cast("long"))
     frontier, done = branch(roots, 0), None
     for depth in range(DEPTH):
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -91,7 +106,7 @@ def nodes(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 def _may_match(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     sized = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return sized & (estimated(a, b) >= percent / 100 - MARGIN)
+    return sized & (estimated(a, b) >= percent / 100 - margin(percent))
 
 
 def star_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +241,8 @@ def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", percent: i
     that id. Ids that are null come after all others; of rows that repeat an id one is kept. A row without words,
     or of a null text, links with nothing and is kept.
     """
-    rows = written(sketched(df, text, row_id))
+    trees = trees_for(percent)
+    rows = written(sketched(df, text, row_id, trees))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_id", "t1", "t2")
     classes = written(
         rows.filter(F.col("cid").isNotNull())
@@ -234,7 +250,7 @@ def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", percent: i
         .agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     )
     reps = classes.select("cid", "rep.doc_id", "rep.t1", "rep.t2")
-    members = written(nodes(classes, leaf).join(classes.select("cid", "n", "sketch"), "cid"))
+    members = written(nodes(classes, trees, leaf).join(classes.select("cid", "n", "sketch"), "cid"))
     links = written(confirmed(written(star_pairs(members, percent)), reps, df, text, row_id, percent))
     labels = components(links)
     named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
@@ -233,6 +234,15 @@ def test_near_duplicates(spark, leaf):
     assert set(per_group.values()) == {1}
 
 
+def test_near_duplicates_at_eighty_percent(spark):
+    """Pairs of similarity 0.82, which the pipeline's stage has to link."""
+    rows = [(2 * k + b, " ".join(f"p{k}q{i}" for i in range(86 if b else 104)), "en", "s", 0) for k in range(60) for b in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_dup.groups(df).filter("kept").count() == 120
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [2 * k for k in range(60)]
+    assert (near_dup.trees_for(85), near_dup.trees_for(80), near_dup.margin(85), near_dup.margin(80)) == (4, 5, 0.22, 0.25)
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.groups(odd).collect()) == groups_by_hand(rows)
