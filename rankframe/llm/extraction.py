@@ -1,10 +1,11 @@
 """Main text of web pages: page structure, and a host's repeated token runs for what structure leaves open.
 
-A page is cut into blocks of three kinds. ``main``: inside an article or main element and in none of the excluded
-elements; it is the page's text and is never dropped. ``chrome``: inside an excluded element. ``open``: neither. The
-token streams of a host's chrome and open blocks go into one suffix array, cut off at ``run`` tokens: a suffix that
-shares its first ``run`` tokens with one of another page starts a repeated substring. Open tokens that such
-substrings cover are boilerplate, the rest are unique runs and stay.
+A page is cut into blocks of three kinds. ``chrome``: inside an excluded element, never text. ``main``: inside an
+article or main element and in none of the excluded ones. ``open``: neither. What repeats on many pages of the host is
+boilerplate: whole main and open blocks of ``RUN`` tokens or more, and in the stream of chrome and open blocks also runs
+of ``LONG`` tokens, if they stand on ``PAGES`` pages or on more than half of the host's; runs of ``run`` tokens only on
+more than half. Pages count once for each distinct content, so copies of an article are no evidence, and a host of
+fewer than three contents has no boilerplate.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankframe.llm.columns import hash_pair, packed
+from rankframe.llm.skew import skew_join
 
 RUN = 6
-"""Tokens that must repeat on another page of the host."""
+"""Tokens of the shortest run, or whole block, that can be boilerplate."""
+
+LONG, PAGES, LEAST_CONTENTS = 32, 10, 3
 
 RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select"
 MAIN = {"article", "main"}
@@ -121,27 +125,54 @@ def _parsed(source: DataFrame) -> DataFrame:
     return source.mapInArrow(batches, T.StructType([*[source.schema[c] for c in source.columns[:-1]], T.StructField("blocks", _BLOCKS)]))
 
 
-def covered_tokens(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """Per page (h1, h2) the open tokens that lie in a run of ``run`` tokens found on another page of ``host``.
+SHORT_RUN, LONG_RUN, WHOLE = 0, 1, 2
+
+
+def _units(run: int):
+    """Of ``blocks``: (kind, h1, h2, at, open) of runs, at a token of chrome and open blocks, and of whole blocks."""
+    told = F.filter("blocks", lambda b: b["zone"] != MAIN_ZONE)
+    tokens = F.flatten(F.transform(told, lambda b: F.transform(F.split(b["text"], " "), lambda t: F.struct(b["zone"].alias("zone"), t.alias("token")))))
+
+    def unit(kind, value, at, is_open):
+        u1, u2 = hash_pair(value)
+        return F.struct(F.lit(kind).alias("kind"), u1.alias("u1"), u2.alias("u2"), at.cast("int").alias("at"), is_open.alias("open"))
+
+    def runs(kind, size):
+        last = F.size("_tokens") - size
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        piece = lambda at: F.slice("_tokens", at + 1, size)
+        return F.transform(places, lambda at: unit(kind, piece(at)["token"], at, F.exists(piece(at), lambda t: t["zone"] == OPEN_ZONE)))
 
-    ``pages`` has (host, h1, h2, blocks); h1 and h2 tell pages apart, so a repeated row is the same page. The suffixes
-    of each page are counted once for it, and combine before their shuffle, so a run on every page of a hot host
-    is one row for each task.
+    numbered = F.transform("blocks", lambda b, i: F.struct(b.alias("b"), i.alias("i")))
+    whole = F.filter(numbered, lambda x: (x["b"]["zone"] == OPEN_ZONE) & (F.size(F.split(x["b"]["text"], " ")) >= RUN))
+    blocks_of = F.transform(whole, lambda x: unit(WHOLE, x["b"]["text"], x["i"], F.lit(True)))
+    return tokens, F.concat(runs(SHORT_RUN, run), runs(LONG_RUN, LONG), blocks_of)
+
+
+def boilerplate(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """Per page (h1, h2) with any: the tokens ``covered`` of its chrome and open blocks, and the blocks ``repeated``.
+
+    ``pages`` has (host, h1, h2, blocks). Pages collapse by the hash of their main and open text first, and units are
+    counted with a partial sum, so a unit on every page of a hot host is one row for each task.
     """
-    told = pages.select("host", "h1", "h2", F.filter("blocks", lambda b: b["zone"] != MAIN_ZONE).alias("blocks"))
-    tokens = F.flatten(F.transform("blocks", lambda b: F.transform(F.split(b["text"], " "), lambda t: F.struct(b["zone"].alias("zone"), t.alias("token")))))
-    streams = told.withColumn("tokens", tokens).filter(F.size("tokens") >= run)
-    places = F.sequence(F.lit(1), F.size("tokens") - (run - 1))
-    suffixes = streams.select("host", "h1", "h2", "tokens", F.posexplode(places).alias("at", "place")).select(
-        "host", "h1", "h2", "at", F.exists(F.slice("tokens", F.col("place"), run), lambda t: t["zone"] == OPEN_ZONE).alias("open"),
-        F.array_join(F.slice("tokens.token", F.col("place"), run), " ").alias("suffix"),
-    )
-    page = F.struct("h1", "h2")
-    array = suffixes.groupBy("host", "suffix").agg(F.min(page).alias("first"), F.max(page).alias("last"))
-    repeated = array.filter(F.col("first") != F.col("last")).select("host", "suffix")
-    starts = suffixes.filter("open").join(repeated, ["host", "suffix"])
-    return starts.groupBy("h1", "h2").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + (run - 1))))).alias("covered")
+    tokens, units = _units(run)
+    content = F.array_join(F.transform(F.filter("blocks", lambda b: b["zone"] != CHROME), lambda b: b["text"]), "\n")
+    c1, c2 = hash_pair(content)
+    told = pages.withColumn("_tokens", tokens).select("host", "h1", "h2", c1.alias("c1"), c2.alias("c2"), units.alias("units"))
+    keys = F.array_sort(F.transform("units", lambda u: F.struct(u["kind"].alias("kind"), u["u1"].alias("u1"), u["u2"].alias("u2"))))
+    once = F.filter("_sorted", lambda u, i: (i == 0) | (F.get("_sorted", F.greatest(i - 1, F.lit(0))) != u))
+    contents = told.select("host", "c1", "c2", keys.alias("_sorted")).select("host", "c1", "c2", once.alias("keys")).groupBy("host", "c1", "c2").agg(F.any_value("keys").alias("keys"))
+    counts = contents.select("host", F.inline("keys")).groupBy("host", "kind", "u1", "u2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    totals = contents.groupBy("host").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") >= LEAST_CONTENTS)
+    most = F.col("n") * 2 > F.col("of")
+    many = (F.col("kind") != SHORT_RUN) & (F.col("n") >= PAGES)
+    frequent = skew_join(counts, totals, ["host"]).filter(most | many).select("host", "kind", "u1", "u2")
+    found = skew_join(told.select("host", "h1", "h2", F.inline("units")).filter("open"), frequent, ["host", "kind", "u1", "u2"])
+    length = F.when(F.col("kind") == SHORT_RUN, run).otherwise(LONG)
+    spans = F.when(F.col("kind") != WHOLE, F.sequence(F.col("at"), F.col("at") + length - 1))
+    return found.groupBy("h1", "h2").agg(
+        F.array_distinct(F.flatten(F.collect_set(spans))).alias("covered"),
+        F.collect_set(F.when(F.col("kind") == WHOLE, F.col("at"))).alias("repeated"),
     )
 
 
@@ -150,7 +181,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
     space (empty if none), and ``n_chars``, its code points; columns of those names are replaced.
 
     A null page has no text, a null url the empty host; equal rows are one page and get the same text each. Only
-    pages with open blocks are shuffled; the others are parsed and done in the scan.
+    pages with main or open blocks are shuffled; the others have no text.
     """
     given = pages.drop("text", "n_chars")
     kept = packed(given, *(keep or given.columns))
@@ -160,17 +191,17 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
         F.col(f"`{page}`").alias("_html"),
     )
     parsed = _parsed(source)
-    has_open = F.exists("blocks", lambda b: b["zone"] == OPEN_ZONE)
-    main = F.array_join(F.transform(F.filter("blocks", lambda b: b["zone"] == MAIN_ZONE), lambda b: b["text"]), " ")
-    plain = parsed.filter(~has_open).select("_row", main.alias("text"))
-    covered = covered_tokens(_parsed(source.select("host", "h1", "h2", "_html")), run)
-    mixed = parsed.filter(has_open).join(covered, ["h1", "h2"], "left")
-    mixed = mixed.select("_row", _assembled(F.col("blocks"), F.col("covered")).alias("text"))
-    return plain.unionByName(mixed).select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
+    has_text = F.exists("blocks", lambda b: b["zone"] != CHROME)
+    plain = parsed.filter(~has_text).select("_row", F.lit("").alias("text"))
+    found = boilerplate(_parsed(source.select("host", "h1", "h2", "_html")), run)
+    mixed = parsed.filter(has_text).join(found, ["h1", "h2"], "left")
+    none = F.array().cast("array<int>")
+    text = _assembled(F.col("blocks"), F.coalesce("covered", none), F.coalesce("repeated", none))
+    return plain.unionByName(mixed.select("_row", text.alias("text"))).select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def _assembled(all_blocks, covered):
-    """Main blocks whole, open blocks without their covered tokens."""
+def _assembled(all_blocks, covered, repeated):
+    """Blocks that are not repeated: main ones whole, open ones without their covered tokens."""
     told = F.filter(all_blocks, lambda b: b["zone"] != MAIN_ZONE)
     sizes = F.transform(told, lambda b: F.size(F.split(b["text"], " ")))
     starts = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b))
@@ -188,9 +219,8 @@ def _assembled(all_blocks, covered):
         own = F.array_except(F.sequence(first, first + F.size(tokens) - 1), covered)
         left = F.array_join(F.transform(own, lambda at: F.get(tokens, at - first)), " ")
         return (
-            F.when(block["zone"] == MAIN_ZONE, block["text"])
-            .when(block["zone"] == CHROME, "")
-            .when(covered.isNull(), block["text"])
+            F.when((block["zone"] == CHROME) | F.array_contains(repeated, i), "")
+            .when((block["zone"] == MAIN_ZONE) | (F.size(covered) == 0), block["text"])
             .otherwise(left)
         )
 

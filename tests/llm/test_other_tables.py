@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -114,6 +115,20 @@ def test_extraction(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def words(mark, n):
+    return " ".join(f"{mark}{j}" for j in range(n))
+
+
+def test_extraction_keeps_copies_and_phrases(spark):
+    """No article element: an article under two URLs stays in both, and so does a phrase that two pages of many share."""
+    copy, phrase = words("copy", 90), "at the end of the long day"
+    pages = {f"http://c.x/{i}": f"<div>{copy}</div>" for i in range(2)} | {f"http://c.x/p{i}": f"<p>{words(f'o{i}x', 20)}</p>" for i in range(3)}
+    pages |= {f"http://p.x/{i}": f"<p>{words(f'a{i}x', 9)} {phrase if i < 2 else 'none'} {words(f'b{i}x', 9)}</p>" for i in range(8)}
+    df = spark.createDataFrame(list(pages.items()), "url string, html string")
+    got = {r["url"]: r["text"] for r in extraction.extract(df).collect()}
+    assert got == {u: re.sub(r"<[^>]*>", "", h) for u, h in pages.items()}
+
+
 def test_extraction_query(spark):
     for r in QUERIES["op3_main_text"](spark, SF).collect():
         assert r["n_chars"] == len(r["text"]) and "track(" not in r["text"] and "©" not in r["text"]
