@@ -144,7 +144,7 @@ def _units(run: int):
         return F.transform(places, lambda at: unit(kind, piece(at)["token"], at, F.exists(piece(at), lambda t: t["zone"] == OPEN_ZONE)))
 
     numbered = F.transform("blocks", lambda b, i: F.struct(b.alias("b"), i.alias("i")))
-    whole = F.filter(numbered, lambda x: (x["b"]["zone"] == OPEN_ZONE) & (F.size(F.split(x["b"]["text"], " ")) >= RUN))
+    whole = F.filter(numbered, lambda x: (x["b"]["zone"] != CHROME) & (F.size(F.split(x["b"]["text"], " ")) >= RUN))
     blocks_of = F.transform(whole, lambda x: unit(WHOLE, x["b"]["text"], x["i"], F.lit(True)))
     return tokens, F.concat(runs(SHORT_RUN, run), runs(LONG_RUN, LONG), blocks_of)
 

@@ -129,6 +129,15 @@ def test_extraction_keeps_copies_and_phrases(spark):
     assert got == {u: re.sub(r"<[^>]*>", "", h) for u, h in pages.items()}
 
 
+def test_extraction_drops_blocks_that_articles_repeat(spark):
+    """A paragraph inside the article of 12 of 40 pages goes; one on three pages stays."""
+    often, seldom = words("often", 15), words("seldom", 15)
+    extra = lambda i: f"<p>{often}</p>" if i < 12 else f"<p>{seldom}</p>" if i < 15 else ""
+    rows = [(i, f"http://r.x/{i}", f"<article><p>{words(f'o{i}x', 20)}</p>{extra(i)}</article>") for i in range(40)]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: words(f"o{i}x", 20) + (f" {seldom}" if 12 <= i < 15 else "") for i in range(40)}
+
+
 def test_extraction_query(spark):
     for r in QUERIES["op3_main_text"](spark, SF).collect():
         assert r["n_chars"] == len(r["text"]) and "track(" not in r["text"] and "©" not in r["text"]
