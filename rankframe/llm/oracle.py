@@ -2,6 +2,12 @@
 
 SPACE = r"[\x20\x09-\x0D]+"
 ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+BITS = "flatten(list_transform(string_split({}, ''), lambda c: list_transform(range(8), lambda b: (ascii(c) >> b::integer) & 1)))"
+"""The bits of an ASCII string, the lowest of each byte first."""
+CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::ubigint], " + BITS + "::ubigint[]), "
+    "lambda crc, bit: xor(crc >> 1, xor(crc, bit) % 2 * 3988292384)), 4294967295::ubigint)"
+)
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
@@ -61,4 +67,20 @@ ORACLE = {
         sha256(coalesce(string_agg(line, chr(10) order by pos) filter (f.k is null), '')) kept_sha256
         from k left join f using (k) group by r
     """,
+    "op11_prefix_trie": rf"""
+        with m as (select conv_id c, coalesce(role, '') r, coalesce(text, '') t, turn from conversations where conv_id is not null),
+        own as (select c, list(struct_pack(r := r, t := t) order by turn nulls first, r, t) l from m group by c),
+        h as (select c, l, (({CRC32.format("c::varchar")}) % 4)::bigint h from own),
+        s as (select h.c, list_concat(coalesce(b.l[1:h], []), h.l[h + 1:]) l from h left join own b on b.c = h.c - h.c % {20}),
+        p as (select c, d, l[1:d] p, len(l) = d is_end,
+              case when d > 0 then len(regexp_extract_all(l[d].t, '[^\x20\x09-\x0D]+')) else 0 end w
+              from (select *, unnest(range(0, len(l) + 1)) d from s)),
+        n as (select p, any_value(d) d, min(c) c, count(*) n, any_value(w) w,
+              sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (is_end), '')) e from p group by p),
+        k as (select n.*, (select count(*) from n x where x.d = n.d + 1 and x.p[1:n.d] = n.p) kids from n)
+        select k.c conv_id, k.d depth, u.c parent_conv_id, k.n n_convs, k.kids n_children, sub.leaves n_leaves, sub.saved saved_tokens, k.e ends_sha256
+        from k left join n u on u.d = k.d - 1 and u.p = k.p[1:k.d - 1]
+        join (select a.p, count(*) filter (x.kids = 0) leaves, sum((x.n - 1) * x.w)::bigint saved
+              from k a join k x on x.d >= a.d and x.p[1:a.d] = a.p group by a.p) sub on sub.p = k.p
+    """,
 }

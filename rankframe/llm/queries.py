@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm import byte_bpe, chat, decontaminate, extraction, line_dedup, lm_scoring, near_dup, quality, sharding, url_filter
+from rankframe.functions.ranking import written
+from rankframe.llm import byte_bpe, chat, decontaminate, extraction, line_dedup, lm_scoring, near_dup, prefix_trie, quality, sharding, url_filter
 from rankframe.llm.oracle import ORACLE as ORACLE
+from rankframe.llm.skew import skew_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +102,32 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, spark.sql(RULES)).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+GROUP = 20
+"""Conversations of one group of ids take their first turns from the group's first."""
+
+
+def rebuilt(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation behind the first h turns of its group's first, in place of its own first h: the turns, and the
+    ids of all conversations. ``ids`` are ``prefix_trie.turn_ids``, stored."""
+    lead = F.crc32(F.col("conv_id").cast("string")) % 4
+    turn = F.struct("pos", "h1", "h2", "words")
+    heads = ids.filter((F.col("conv_id") % GROUP == 0) & (F.col("pos") < 3))
+    heads = heads.groupBy(F.col("conv_id").alias("first")).agg(F.array_sort(F.collect_list(turn)).alias("head"))
+    convs = ids.select("conv_id").distinct().withColumn("first", F.col("conv_id") - F.col("conv_id") % GROUP)
+    none = F.slice(F.array(F.struct(*[F.lit(0).cast("long").alias(c) for c in ("pos", "h1", "h2", "words")])), 1, 0)
+    head = F.slice(F.coalesce("head", none), F.lit(1), lead.cast("int"))
+    convs = convs.join(heads, "first", "left").select("conv_id", head.alias("head"))
+    taken = convs.select("conv_id", F.explode("head").alias("turn")).select("conv_id", "turn.*")
+    own = skew_join(ids.filter(F.col("pos") >= lead), convs.select("conv_id", F.size("head").alias("n_head")), ["conv_id"])
+    own = own.select("conv_id", (F.col("pos") - lead + F.col("n_head")).alias("pos"), "h1", "h2", "words")
+    return taken.unionByName(own), convs.select("conv_id")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = written(prefix_trie.turn_ids(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(*rebuilt(ids))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_scoring": op2_lm_scoring,
@@ -111,4 +139,5 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
 }
