@@ -10,6 +10,32 @@ CRC32 = (
 )
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _edit(audit: str, cost: str, letter: str) -> str:
+    """An audit, written behind its cost in six digits, after one more edit: least() then compares cost, then audit."""
+    return f"lpad((left({audit}, 6)::int + {cost})::varchar, 6, '0') || substr({audit}, 7) || '{letter}'"
+
+
+def _inserted(states: str) -> str:
+    """SQL of the four states' best audits [start, s, u, a] after inserts."""
+    first = f"list_transform([{states}], lambda v: [v[1], v[2], least(v[3], {_edit('least(v[1], v[2], v[4])', '3', 'I')}), v[4]])[1]"
+    second = f"list_transform([{first}], lambda v: [v[1], v[2], v[3], least(v[4], {_edit('v[3]', '3', 'I')})])[1]"
+    return f"list_transform([{second}], lambda v: [v[1], v[2], least(v[3], {_edit('v[4]', '3', 'I')}), v[4]])[1]"
+
+
+def _consumed() -> str:
+    """SQL of the states after the row x = [initial, fault]."""
+    more, stays = "(case when x[2] = 'truncated' then 3 else 0 end)", "x[2] in ('truncated', '')"
+    opened, answered = "least(a[1], a[2], a[4])", "a[3]"
+    return f"""[{_edit('a[1]', '4', 'D')},
+        least({_edit('a[2]', '4', 'D')}, case when {stays} and x[1] = 's' then {_edit('a[1]', more, 'K')} end),
+        least({_edit('a[3]', '4', 'D')}, case when {stays} then {_edit(opened, '3 + ' + more, 'R')} end,
+              case when {stays} and x[1] = 'u' then {_edit(opened, more, 'K')} end),
+        least({_edit('a[4]', '4', 'D')}, case when {stays} then {_edit(answered, '3 + ' + more, 'R')} end,
+              case when {stays} and x[1] = 'a' then {_edit(answered, more, 'K')} end)]"""
+
+
 ORACLE = {
     "op1_quality_rules": rf"""
         with d as (select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') t from documents),
@@ -83,4 +109,30 @@ ORACLE = {
         join (select a.p, count(*) filter (x.kids = 0) leaves, sum((x.n - 1) * x.w)::bigint saved
               from k a join k x on x.d >= a.d and x.p[1:a.d] = a.p group by a.p) sub on sub.p = k.p
     """,
+    "op13_structure_repair": rf"""
+        with o as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t,
+              coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') i from conversations),
+        z as (select *, ({CRC32.format("i")}) % 20 h from o),
+        m as (select conv_id, turn, case when h = 4 then 'user' else r end r,
+              case when h = 1 then '' when h = 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t
+              from (select *, unnest(range(case when h = 3 then 2 else 1 end)) from z where h <> 0)),
+        n as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t) n, trim(t, {ENDS}) b, left(r, 1) l from m),
+        d as (select *, row_number() over (partition by conv_id, r, t order by n) > 1 again, lag(l) over (partition by conv_id order by n) || l pair from n),
+        f as (select *, case when b = '' then 'blank' when again then 'duplicate' when right(b, 1) not in ('.', '!', '?') then 'truncated' else '' end fault from d),
+        c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'blank') blank,
+              count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated,
+              count(*) filter (pair not in ('su', 'ua', 'au')) illegal, list([l, fault] order by n) x, list([r, t] order by n) said from f group by conv_id),
+        s as (select *, list_reduce(list_concat([{_inserted("['000000', null, null, null]")}], x), lambda a, x: {_inserted(_consumed())}) v from c),
+        a as (select * exclude (v, x), left(least(v[1], v[4]), 6)::bigint cost, substr(least(v[1], v[4]), 7) audit from s),
+        e as (select conv_id, said, x, audit, k, audit[k] edit,
+              length(replace(left(audit, k), 'I', '')) row, length(replace(left(audit, k), 'D', '')) nth
+              from (select a.*, c.x, unnest(range(1, length(audit) + 1)) k from a join c on a.conv_id is not distinct from c.conv_id)),
+        w as (select *, nth - (first_value(edit = 'K' and x[row][1] = 's') over (partition by conv_id order by k))::int u from e where edit <> 'D'),
+        p as (select conv_id, sha256(string_agg(case when edit = 'K' then said[row][1] when u % 2 = 1 then 'user' else 'assistant' end
+              || ':' || case when edit = 'I' then '' else said[row][2] end, chr(10) order by k)) q from w group by conv_id)
+        select g.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+        coalesce(illegal, 0) illegal, coalesce(cost, 0) as "cost", coalesce(audit, '') audit, coalesce(q, sha256('')) repaired_sha256
+        from (select distinct conv_id from conversations) g left join a on a.conv_id is not distinct from g.conv_id
+        left join p on p.conv_id is not distinct from g.conv_id
+    """,
 }

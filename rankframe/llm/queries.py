@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import written
-from rankframe.llm import byte_bpe, chat, decontaminate, extraction, line_dedup, lm_scoring, near_dup, prefix_trie, quality, sharding, url_filter
+from rankframe.llm import byte_bpe, chat, decontaminate, extraction, line_dedup, lm_scoring, near_dup, prefix_trie, quality, sharding, structure_repair, url_filter
 from rankframe.llm.oracle import ORACLE as ORACLE
 from rankframe.llm.skew import skew_join
 
@@ -128,6 +128,26 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*rebuilt(ids))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``rows`` with the stated damage by the check sum of ``conv_id:turn``: a row is dropped (``there`` is false), loses
+    its text or its sentence ends, stands twice, or becomes a user's. A null counts as one space."""
+    known = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    known = known.withColumn("harm", F.crc32(F.concat_ws(":", *named)) % 20)
+    harm = F.col("harm")
+    text = F.when(harm == 1, "").when(harm == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(harm != 0, F.when(harm == 3, 2).otherwise(1)))
+    return known.select("conv_id", "turn", F.when(harm == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("there"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    lines = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    return structure_repair.repair(rows, F.col("there")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256")
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_scoring": op2_lm_scoring,
@@ -140,4 +160,5 @@ QUERIES = {
     "op9_kd_sharding": op9_kd_sharding,
     "op10_url_filter": op10_url_filter,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
