@@ -109,6 +109,16 @@ ORACLE = {
         join (select a.p, count(*) filter (x.kids = 0) leaves, sum((x.n - 1) * x.w)::bigint saved
               from k a join k x on x.d >= a.d and x.p[1:a.d] = a.p group by a.p) sub on sub.p = k.p
     """,
+    "op12_cover_tree": """
+        with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+        r as (select a n, a m from l union select r.n, l.b from r join l on r.m = l.a),
+        c as (select n, min(m) m from r group by n),
+        k as (select a, count(*) k from l group by a)
+        select vec_id, coalesce(k, 0) n_links, coalesce(m, vec_id) component_id, coalesce(m, vec_id) = vec_id kept
+        from embeddings left join c on n = vec_id left join k on a = vec_id
+    """,
     "op13_structure_repair": rf"""
         with o as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t,
               coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') i from conversations),

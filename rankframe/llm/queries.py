@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions.ranking import written
-from rankframe.llm import byte_bpe, chat, decontaminate, extraction, line_dedup, lm_scoring, near_dup, prefix_trie, quality, sharding, structure_repair, url_filter
+from rankframe.llm import byte_bpe, chat, cover_tree, decontaminate, extraction, line_dedup, lm_scoring, near_dup, prefix_trie, quality, sharding, structure_repair, url_filter
 from rankframe.llm.oracle import ORACLE as ORACLE
 from rankframe.llm.skew import skew_join
 
@@ -128,6 +128,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*rebuilt(ids))
 
 
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = cover_tree.near_groups(vectors, cosine=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """``rows`` with the stated damage by the check sum of ``conv_id:turn``: a row is dropped (``there`` is false), loses
     its text or its sentence ends, stands twice, or becomes a user's. A null counts as one space."""
@@ -160,5 +166,6 @@ QUERIES = {
     "op9_kd_sharding": op9_kd_sharding,
     "op10_url_filter": op10_url_filter,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_cover_tree": op12_cover_tree,
     "op13_structure_repair": op13_structure_repair,
 }
