@@ -36,6 +36,9 @@ def _consumed() -> str:
               case when {stays} and x[1] = 'a' then {_edit(answered, more, 'K')} end)]"""
 
 
+NUMBERS = r"regexp_replace({}, '(^|[^\pL\pN])[0-9]+($|[^\pL\pN])', '\1' || chr(1) || '\2', 'g')"
+"""Numbers that are no part of a word, marked. A mark takes the characters beside it, so it takes two rounds for all."""
+
 ORACLE = {
     "op1_quality_rules": rf"""
         with d as (select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') t from documents),
@@ -45,11 +48,8 @@ ORACLE = {
         n as (select r, pos, count(*) over (partition by r, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2]) c from g),
         rep as (select r, count(distinct p) c from (select r, unnest([pos, pos + 1, pos + 2]) p from n where c > 1) group by r),
         ln as (select distinct host, t, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) pos from d),
-        k as (select host, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n,
-              trim(translate({LOWERED.format("line")}, '123456789', '000000000'), {ENDS}) k from ln where length(line) <= 200),
-        c as (select host, k, count(distinct t) c from k where n > 0 group by all),
-        tot as (select host, count(distinct t) c from d group by host),
-        f as (select host, k from c join tot using (host) where c.c >= 10 and 100 * c.c >= 5 * tot.c),
+        k as (select host, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, trim(replace({NUMBERS.format(NUMBERS.format(LOWERED.format("line")))}, chr(1), '0'), {ENDS}) k from ln),
+        f as (select host, k from k where n > 0 group by all having count(distinct t) >= 10),
         fw as (select host, t, sum(n) n from k join f using (host, k) group by all),
         a as (select d.doc_id, len(s.w) n_words, length(array_to_string(s.w, '')) word_chars,
               length(d.t) - length(translate(d.t, '#*$%&|<>', '')) n_symbols,

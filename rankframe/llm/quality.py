@@ -2,7 +2,7 @@
 
 A line above its host's limit counts as removed; a document that keeps too few of its words is depleted and rejected.
 Exact copies of a text are one document of their host. Lines count whatever their length, as they travel as hashes.
-In lines of more than ``LONG_LINE`` characters only whole numbers are folded: digits inside words tell passages apart.
+Numbers are folded, so that a page's number or date does not tell its menu apart; digits inside words do.
 """
 
 from __future__ import annotations
@@ -21,15 +21,12 @@ MADE = (*BASE, "base_failed", "n_frequent_words", "kept")
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 MIN_DOCS, MIN_LEFT_PERCENT = 10, 30
-LONG_LINE = 200
 
 
 def line_key(line: Column) -> Column:
-    """The form in which lines are compared: A-Z lower-cased, ASCII white space off both ends, and digits as 0, or in
-    lines of more than ``LONG_LINE`` characters each number that is no part of a word."""
-    low = ascii_lower(line)
-    numbers = F.regexp_replace(low, r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])", "0")
-    return strip_spaces(F.when(F.char_length(line) <= LONG_LINE, F.translate(low, "123456789", "000000000")).otherwise(numbers))
+    """The form in which lines are compared: A-Z lower-cased, ASCII white space off both ends, and each number that is no
+    part of a word as 0."""
+    return strip_spaces(F.regexp_replace(ascii_lower(line), r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])", "0"))
 
 
 def _starts_repeated(ordered: Column) -> Column:
@@ -112,7 +109,12 @@ def judge(
     spare = (F.col("n_words") - n_frequent) * 100 - F.col("n_words") * min_left_percent
     # one condition over both sides of the join: a filter on it must not drag the base rules below the join again
     kept = F.least(-base_failed.cast("double"), spare.cast("double")) >= 0
-    return skew_join(base, frequent, ["host", "t1", "t2"], "left").select(
+    on = ["host", "t1", "t2"]
+    # like skew_join, by a key that cannot be null: a null check on it would be pushed into one of the two scans of
+    # the texts, and they would no longer share their exchange
+    part = F.xxhash64(*on).bitwiseAND(F.lit(1))
+    both = base.withColumn("_part", part).join(frequent.withColumn("_part", part), [*on, "_part"], "left")
+    return both.select(
         "_row.*", *BASE, base_failed.alias("base_failed"), n_frequent.alias("n_frequent_words"), kept.alias("kept")
     )
 

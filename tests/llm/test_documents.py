@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from rankframe.llm import byte_bpe, decontaminate, line_dedup, near_dup, quality
@@ -85,6 +86,35 @@ def base_by_hand(text):
     return len(words), sum(map(len, words)), symbols, len(solid) - len(set(solid)), len(repeated)
 
 
+def depleted_by_hand(rows, min_docs=10, percent=30):
+    """rows: (text, host). Whether too few words stand outside lines that many texts of the host share."""
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+    def key(line):
+        folded = regex.sub(r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])", "0", line.translate(lower))
+        return folded.strip(" \t\n\x0b\x0c\r")
+
+    seen = Counter((h, k) for t, h in {(t or "", h or "") for t, h in rows} for k in {key(x) for x in t.split("\n")})
+    out = []
+    for t, h in rows:
+        words = [(len(re.findall(r"[^\x20\x09-\x0D]+", x)), seen[h or "", key(x)] >= min_docs) for x in (t or "").split("\n")]
+        total = sum(n for n, _ in words)
+        out.append((total - sum(n for n, often in words if often)) * 100 < total * percent)
+    return out
+
+
+def test_quality_line_rule_on_the_table(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()
+    rows += [(10_000 + i, f"Page {i} of 20\nitem{i} stays {i}\n" + f"own{i} " * 3, "hot") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["kept"] or r["base_failed"] for r in quality.judge(df).collect()}
+    depleted = depleted_by_hand([(t, h) for _, t, h in rows])
+    failed = [b[0] < 50 or 100 * b[4] > 50 * b[0] for b in (base_by_hand(t) for _, t, _ in rows)]
+    assert got == {i: base or not gone for (i, _, _), gone, base in zip(rows, depleted, failed)}
+    words = {r["doc_id"]: r["n_frequent_words"] for r in quality.judge(df).collect()}
+    assert all(words[10_000 + i] == 4 for i in range(15))
+
+
 def test_quality_base_odd_rows(spark, odd, none):
     got = Counter(tuple(r[c] for c in (*quality.BASE, "base_failed")) for r in quality.judge(odd).collect())
     want = Counter((*b, b[0] < 50 or 100 * b[4] > 50 * b[0]) for b in (base_by_hand(r["text"]) for r in odd.collect()))
