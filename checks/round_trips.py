@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import rankframe as rf
@@ -15,6 +15,12 @@ from rankframe.operators.encoding import model_encoder
 from rankframe.sources import readers, writers
 
 
+def six(value: Column) -> Column:
+    """``value`` to six decimals. Ranked scores have 9 to 12 of their own, and what lies exactly between two numbers of
+    six is rounded up by one engine and down by the other; half of a thirteenth decimal takes it off the middle."""
+    return F.round(value + F.lit(5e-13), 6)
+
+
 def fresh(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid4().hex}"
 
@@ -59,13 +65,29 @@ def read_qrels_files(spark: SparkSession, sf: str) -> DataFrame:
 def run_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark)
     writers.write_run(t.dense_run(spark, sf), path)
-    return readers.read_run(spark, path).withColumn("score", F.round("score", 6))
+    return readers.read_run(spark, path).withColumn("score", six(F.col("score")))
+
+
+def run_order_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions as the files have them: by file name and line, which is what a reader of one stream sees."""
+    path = fresh(spark)
+    writers.write_ordered_run(t.dense_run(spark, sf), path)
+    lines = spark.read.option("header", True).csv(path).withColumn("file", F.col("_metadata.file_name"))
+    place = Window.partitionBy("file").orderBy(F.monotonically_increasing_id())
+    lines = lines.withColumn("line", F.row_number().over(place))
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    read = lines.join(starts, "file").select(
+        "qid", "docid", (F.col("start") + F.col("line") - 1).alias("place"), F.col("position").cast("long").alias("position")
+    )
+    return read
 
 
 def trec_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark)
     writers.write_trec_run(t.dense_run(spark, sf), path, "dense")
-    return readers.read_trec_run(spark, path).withColumn("score", F.round("score", 6))
+    return readers.read_trec_run(spark, path).withColumn("score", six(F.col("score")))
 
 
 def embedding_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +102,7 @@ def index_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark)
     writers.write_index(rf.build_index(t.corpus(spark, sf)), path)
     run = rf.search(readers.read_index(spark, path), t.queries(spark, sf), 10)
-    return run.withColumn("score", F.round("score", 6))
+    return run.withColumn("score", six(F.col("score")))
 
 
 def load_counts():
@@ -106,6 +128,53 @@ def embeddings_reused(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("docid", *parts)
 
 
+def embeddings_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors are stored; then every other document has another text, and only those are encoded anew."""
+    path = fresh(spark)
+    docs = t.corpus(spark, sf).select("docid", rf.assemble_text(strip_ends=True).alias("text")).filter(~is_blank("text"))
+    rf.embeddings_or_compute(docs, path, COUNTS)
+    changed = docs.withColumn("text", F.when(F.col("docid") % 2 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
+    stored = rf.embeddings_or_compute(changed, path, COUNTS)
+    parts = [F.col("embedding")[i].cast("long").alias(name) for i, name in enumerate(("chars", "words"))]
+    return stored.select("docid", *parts)
+
+
+def load_lengths():
+    import numpy as np
+
+    def predict(queries, texts):
+        return np.array([len(text) - len(query) for query, text in zip(queries, texts)], dtype=np.float64)
+
+    return predict
+
+
+def rerank_model_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A stand-in model behind the hook, its scores kept; the second call finds all of them in the store."""
+    path = fresh(spark)
+    docs = t.corpus(spark, sf).select("docid", rf.assemble_text(strip_ends=True).alias("text"))
+    run, asked = t.dense_run(spark, sf, 20), t.queries(spark, sf)
+    for _ in range(2):
+        ranked = rf.rerank(run, asked, docs, rf.model_scorer(load_lengths), "blank", depth=20, store=path)
+    return ranked
+
+
+def load_vectors():
+    import numpy as np
+
+    def predict(batch):
+        return np.array([[len(text) % 7 + 1, len(text.split()) % 5, 1] for text in batch], dtype=np.float32)
+
+    return predict
+
+
+def dense_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries encoded on the way by a stand-in model, over vectors that it made of the documents."""
+    hook = model_encoder(load_vectors)
+    docs = t.corpus(spark, sf).select("docid", hook(F.col("title")).alias("embedding"))
+    run = rf.dense_search(t.queries(spark, sf), docs, 20, encoder=hook, fmt=lambda query: query)
+    return run.withColumn("score", six(F.col("score")))
+
+
 def snapshot_files(spark: SparkSession, sf: str) -> DataFrame:
     """The whole snapshot job, from files to run files; a second call finds nothing left to do."""
     root = fresh(spark)
@@ -118,7 +187,7 @@ def snapshot_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     for _ in range(2):
         rf.run_snapshots(spark, root, f"{root}/runs", COUNTS, rf.token_jaccard, k=100, files=JSON_FILES)
-    return readers.read_trec_run(spark, f"{root}/runs").withColumn("score", F.round("score", 6))
+    return readers.read_trec_run(spark, f"{root}/runs").withColumn("score", six(F.col("score")))
 
 
 def snapshot_shared_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,10 +207,14 @@ ROUND_TRIPS = {
         read_query_files,
         read_qrels_files,
         run_files,
+        run_order_files,
         trec_files,
         embedding_files,
         index_files,
         embeddings_reused,
+        embeddings_changed,
+        rerank_model_hook,
+        dense_encoder,
         snapshot_files,
         snapshot_shared_queries,
     )

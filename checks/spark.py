@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import rankframe as rf
 from checks import tables as t
-from checks.round_trips import COUNTS, ROUND_TRIPS
+from checks.round_trips import COUNTS, ROUND_TRIPS, six
 from rankframe.functions.ranking import written
 from rankframe.functions.text import PASSAGE_PREFIX, is_blank
 from rankframe.operators import lexical
@@ -115,7 +115,7 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
     """What is shown has six decimals; what is ranked keeps all."""
-    return df.withColumns({name: F.round(name, 6) for name in names})
+    return df.withColumns({name: six(F.col(name)) for name in names})
 
 
 def _judged_bm25(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,6 +130,18 @@ def bm25_whole_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return _six(rf.bm25_search(t.queries(spark, sf), t.corpus(spark, sf), 200), "score")
 
 
+def bm25_large_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The way for a vocabulary that may not be broadcast: it is joined."""
+    run = rf.bm25_search(t.queries(spark, sf), t.corpus(spark, sf), 20, broadcast_bytes=0)
+    return _six(run, "score")
+
+
+def search_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Short queries, the last two words of every benchmark text, from the blocks that can reach the ten best."""
+    index = rf.build_index(t.corpus(spark, sf))
+    return _six(lexical.bounded_search(index, t.short_queries(spark, sf), 10), "score")
+
+
 def search_top10(spark: SparkSession, sf: str) -> DataFrame:
     return _six(rf.search(rf.build_index(t.corpus(spark, sf)), t.queries(spark, sf), 10), "score")
 
@@ -138,6 +150,11 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _six(t.dense_run(spark, sf, 200), "score")
 
 
+def dense_topk_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Deeper than the limit up to which Spark cuts a ranking before its shuffle of itself."""
+    return _six(t.dense_run(spark, sf, 1500), "score")
+
+
 def dense_near_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Only rank and document: the scores of a pair agree in the decimals that are shown."""
     run = rf.dense_search(t.query_vectors(spark, sf), t.near_tied_vectors(spark, sf), 20)
@@ -343,9 +360,12 @@ QUERIES = {
         inverted_index,
         bm25_topk,
         bm25_whole_corpus,
+        bm25_large_vocabulary,
         search_top10,
+        search_bounded,
         dense_topk,
         dense_topk_blocked,
+        dense_topk_deep,
         dense_near_ties,
         dense_grid,
         zero_based_rank,

@@ -42,6 +42,7 @@ def with_(*parts: str) -> str:
     return "with " + ",\n".join(part.strip() for part in parts)
 
 
+SHORT_QUERIES = f"queries as (select item_id qid, array_to_string({words('text')}[-2:], ' ') query from benchmark)"
 TEXT = "title || ' ' || abstract"
 TEXTS = f"""
 texts as (select docid, {strip(TEXT)} as text from corpus where {strip(TEXT)} <> '')"""
@@ -107,7 +108,7 @@ fused_scores as (
     coalesce(a.score, 0.0) * {a} + coalesce(b.score, 0.0) * {b} + coalesce(c.score, 0.0) * {c}, 10) fused_score
   from run_a a full join run_b b using (qid, docid) full join run_c c using (qid, docid))"""
     return f"with {EXPERTS},\n{scores},\nfused as ({ranked('fused_scores', 'fused_score')})" + (
-        ' select qid, docid, round(fused_score, 6) fused_score, "rank" from fused'
+        ' select qid, docid, round(fused_score + 5e-13, 6) fused_score, "rank" from fused'
     )
 
 
@@ -133,7 +134,7 @@ reranked as ({ranked(f"{run}_scores", "score")})"""
 
 
 SPARSE = "sparse as (select qid, docid * 3 docid, \"rank\" from run)"
-SHOWN = ' select qid, docid, round(score, 6) score, "rank" from '
+SHOWN = ' select qid, docid, round(score + 5e-13, 6) score, "rank" from '
 
 
 def rerank(how: str) -> str:
@@ -159,8 +160,8 @@ ndcg as (
   from shared group by qid having sum(rel) > 0)"""
 
 
-SIX = "select qid, round(dcg, 6) dcg, round(idcg, 6) idcg, round(ndcg, 6) ndcg from ndcg"
-MEAN = "select round(coalesce(avg(ndcg), 0), 6) ndcg, count(*) n_queries from ndcg"
+SIX = "select qid, round(dcg + 5e-13, 6) dcg, round(idcg + 5e-13, 6) idcg, round(ndcg + 5e-13, 6) ndcg from ndcg"
+MEAN = "select round(coalesce(avg(ndcg), 0) + 5e-13, 6) ndcg, count(*) n_queries from ndcg"
 BM25_JUDGED = (CORPUS, QUERIES, QRELS, JUDGED_TOKENS, POSTINGS, bm25("run", 200))
 
 PAIRS = f"""
@@ -244,12 +245,15 @@ group by all""",
     "bm25_topk": with_(*BM25_JUDGED) + f"{SHOWN}run",
     "bm25_whole_corpus": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 200))
     + f"{SHOWN}run",
+    "bm25_large_vocabulary": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 20)) + f"{SHOWN}run",
+    "search_bounded": with_(CORPUS, SHORT_QUERIES, TOKENS, POSTINGS, bm25("run", 10)) + f"{SHOWN}run",
     "search_top10": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 10))
     + f"{SHOWN}run",
     "dense_topk": with_(VECTORS, dense("run", 200)) + f"{SHOWN}run",
+    "dense_topk_deep": with_(VECTORS, dense("run", 1500)) + f"{SHOWN}run",
     "dense_topk_blocked": with_(VECTORS, dense("run", 100, tie="docid desc")) + f"{SHOWN}run",
     "zero_based_rank": with_(VECTORS, dense("run", RUN_K))
-    + ' select qid, docid, round(score, 6) score, ("rank" - 1)::int as "rank" from run',
+    + ' select qid, docid, round(score + 5e-13, 6) score, ("rank" - 1)::int as "rank" from run',
     "weighted_fusion": fused((0.8, 0.1, 0.1)),
     "weighted_fusion_default": fused((0.4, 0.4, 0.2)),
     "rrf": f"with {EXPERTS},\n{RRF} from rrf_run",
@@ -284,7 +288,7 @@ best as (
   select qid, sum(relevance / log2(1 + pos)) idcg
   from (select *, row_number() over (partition by qid order by relevance desc) pos from qrels where relevance > 0)
   where pos <= 10 group by qid)
-select qid, round(coalesce(dcg, 0), 6) dcg, round(idcg, 6) idcg, round(coalesce(dcg, 0) / idcg, 6) ndcg
+select qid, round(coalesce(dcg, 0) + 5e-13, 6) dcg, round(idcg + 5e-13, 6) idcg, round(coalesce(dcg, 0) / idcg + 5e-13, 6) ndcg
 from best left join got using (qid)""",
     "qrels_map": with_(QRELS)
     + """
@@ -309,12 +313,12 @@ select "position", batch, qid, docid, coalesce((
 from batched b""",
     "trec_lines": with_(*BM25_JUDGED)
     + """
-select qid || ' Q0 ' || docid || ' ' || "rank" || ' ' || round(score, 6)::decimal(38, 6) || ' bm25' as value from run""",
+select qid || ' Q0 ' || docid || ' ' || "rank" || ' ' || round(score + 5e-13, 6)::decimal(38, 6) || ' bm25' as value from run""",
     "indexable_docs": with_(CORPUS)
     + f" select to_json({{'id': docid, 'contents': {TEXT}}})::varchar as value from corpus",
     "snapshot_runs": with_(CORPUS, QUERIES, VECTORS)
     + f",\n{SNAPSHOT_RUN}"
-    + ' select snapshot, qid, docid, round(score, 6) score, "rank" from run',
+    + ' select snapshot, qid, docid, round(score + 5e-13, 6) score, "rank" from run',
     "dense_near_ties": with_(
         """vectors as (
   select vec_id docid, embedding::double[] v from embeddings union all
@@ -342,8 +346,8 @@ placed as (
   select *, 1 / log2(1 + row_number() over (partition by snapshot, qid order by s desc, docid)) discount,
     1 / log2(1 + row_number() over (partition by snapshot, qid order by rel desc)) ideal from judged),
 shared as (select *, avg(discount) over (partition by snapshot, qid, s) tied from placed)
-select snapshot, qid, round(sum(rel * tied), 6) dcg, round(sum(rel * ideal), 6) idcg,
-  round(sum(rel * tied) / sum(rel * ideal), 6) ndcg
+select snapshot, qid, round(sum(rel * tied) + 5e-13, 6) dcg, round(sum(rel * ideal) + 5e-13, 6) idcg,
+  round(sum(rel * tied) / sum(rel * ideal) + 5e-13, 6) ndcg
 from shared group by all having sum(rel) > 0""",
     "snapshot_rrf": with_(CORPUS, VECTORS, SNAPSHOT_DENSE)
     + f""",
@@ -362,15 +366,34 @@ from benchmark, (select distinct snapshot from corpus)""",
     + f"{ndcg('reranked')} {MEAN}",
     "encode_documents": COUNTED,
     "embeddings_reused": COUNTED,
+    "embeddings_changed": with_(CORPUS, TEXTS)
+    + f""" select docid, length(text) + case when docid % 2 = 0 then 9 else 0 end chars,
+  len({words('text')}) + case when docid % 2 = 0 then 2 else 0 end words from texts""",
+    "rerank_model_hook": with_(CORPUS, QUERIES, VECTORS, dense("run", 20))
+    + f""",
+scored as (select r.qid, r.docid, (coalesce(length({strip(TEXT)}), 0) - length(query))::double score
+  from run r join queries using (qid) left join corpus c using (docid))
+select *, row_number() over (partition by qid order by score desc, docid)::int as "rank" from scored""",
+    "dense_encoder": with_(
+        CORPUS,
+        f"vectors as (select docid, [length(title) % 7 + 1, len({words('title')}) % 5, 1]::double[] v from corpus)",
+        f"query_vectors as (select item_id qid, [length(text) % 7 + 1, len({words('text')}) % 5, 1]::double[] v from benchmark)",
+        dense("run", 20),
+    )
+    + f"{SHOWN}run",
+    "run_order_files": with_(VECTORS, dense("run", RUN_K))
+    + """,
+placed as (select *, row_number() over (order by qid, score desc, docid) - 1 place from run)
+select qid::varchar qid, docid::varchar docid, place, place as "position" from placed""",
     "read_corpus_files": with_(CORPUS)
     + f" select docid::varchar docid, md5(lower({TEXT})) bm25_text from corpus",
     "read_query_files": "select item_id::varchar qid, replace(text, chr(10), ' ') query from benchmark",
     "read_qrels_files": with_(QRELS)
     + " select qid::varchar qid, '0' as iter, docid::varchar docid, relevance from qrels",
     "run_files": with_(VECTORS, dense("run", RUN_K))
-    + ' select qid::varchar qid, docid::varchar docid, round(score, 6) score, "rank" from run',
+    + ' select qid::varchar qid, docid::varchar docid, round(score + 5e-13, 6) score, "rank" from run',
     "trec_files": with_(VECTORS, dense("run", RUN_K))
-    + """ select qid::varchar qid, docid::varchar docid, round(score, 6) score, "rank", 'dense' tag from run""",
+    + """ select qid::varchar qid, docid::varchar docid, round(score + 5e-13, 6) score, "rank", 'dense' tag from run""",
     "embedding_files": with_(VECTORS)
     + " select docid::varchar docid, len(v)::int dims, round(list_sum(v), 6) total from vectors",
     "index_files": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 10))
@@ -392,5 +415,5 @@ near as (
   qualify row_number() over (partition by q.snapshot, qid order by near desc, docid) <= 100),
 scores as ({JACCARD.replace("select qid", "select snapshot, qid")} from near),
 run as ({ranked("scores", "score", by="snapshot, qid")})
-select qid, docid, round(score, 6) score, "rank", 'e5-reranked' tag from run""",
+select qid, docid, round(score + 5e-13, 6) score, "rank", 'e5-reranked' tag from run""",
 }

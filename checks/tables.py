@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe import bm25_search, dense_search
 from rankframe.functions.sizing import spread
+from rankframe.functions.text import tokenize
 
 RUN_K = 200
 """Depth of every expert and of what is made from them."""
@@ -39,6 +40,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
+def short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two words of every query."""
+    return queries(spark, sf_dir).withColumn("query", F.array_join(F.slice(tokenize("query"), -2, 2), " "))
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled document is judged for one query; the documents are dealt to the queries in turn."""
     items = queries(spark, sf_dir).agg(F.count(F.lit(1))).scalar()

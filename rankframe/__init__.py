@@ -5,14 +5,14 @@ import sys
 from pyspark.cloudpickle import register_pickle_by_value
 
 from rankframe.functions.ranking import top_k, with_rank
-from rankframe.functions.scoring import cosine, token_jaccard
+from rankframe.functions.scoring import PairScorer, cosine, token_jaccard
 from rankframe.functions.text import assemble_text, normalize_query, strip_prefix, tokenize
 from rankframe.operators.dense import dense_search
 from rankframe.operators.encoding import embeddings_or_compute, encode, model_scorer
 from rankframe.operators.evaluation import coverage, evaluate, mean_metric, ndcg_per_query, qrels_map
 from rankframe.operators.fusion import rrf, weighted_fusion
 from rankframe.operators.keys import available_qrels, dedupe_by_id, judged_corpus, positives
-from rankframe.operators.lexical import Index, bm25_search, build_index, search
+from rankframe.operators.lexical import Index, bm25_search, bounded_search, build_index, search
 from rankframe.operators.rerank import hydrate, rerank
 from rankframe.operators.training import judged_plus_noise, training_batches, training_pairs
 from rankframe.plans.hybrid import hybrid_pipeline
@@ -23,9 +23,11 @@ register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
     "Index",
+    "PairScorer",
     "assemble_text",
     "available_qrels",
     "bm25_search",
+    "bounded_search",
     "build_index",
     "cosine",
     "coverage",

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_TIE = "docid"
-TASKS_PER_SALT = 512
+FAN_IN = 256
+"""Lists that one reducer merges in a round of ``top_k``."""
+CUT_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -88,21 +90,34 @@ def top_k(
     by: Sequence[str] = ("qid",),
     tie: str = DEFAULT_TIE,
     tie_desc: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The k best rows of each query, ranked from 1.
 
-    Spark keeps k rows per query in every task before the shuffle. With very many tasks that is still a
-    long list for one reducer, so beyond ``TASKS_PER_SALT`` shuffle partitions a salted round comes first.
+    Every task keeps k rows per query before the shuffle. The lists of ``FAN_IN`` tasks at most are merged by one
+    reducer: with more ``tasks`` behind ``df`` (as many as a shuffle has partitions, if not given), their lists are merged
+    in rounds, and each round leaves one list of k rows for the tasks it merged.
     """
     order = ranking_order(score, tie, tie_desc)
-    salts = shuffle_partitions(df) // TASKS_PER_SALT
-    if salts > 1:
-        salt = F.pmod(F.xxhash64(tie), F.lit(salts))
-        salted = df.withColumn("_salt", salt)
-        number = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))
-        df = salted.withColumn("_n", number).filter(F.col("_n") <= k).drop("_n", "_salt")
+    _cut_before_shuffles(df.sparkSession, k)
+    tasks = shuffle_partitions(df) if tasks is None else tasks
+    columns, merged = df.columns, 1
+    if tasks > FAN_IN:
+        df = df.withColumn("_task", F.spark_partition_id())
+    while tasks > merged * FAN_IN:
+        merged *= FAN_IN
+        df = df.withColumn("_group", F.floor(F.col("_task") / merged))
+        number = F.row_number().over(Window.partitionBy(*by, "_group").orderBy(*order))
+        df = df.withColumn("_n", number).filter(F.col("_n") <= k).drop("_n")
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("rank", number).filter(F.col("rank") <= k)
+    return df.select(*columns).withColumn("rank", number).filter(F.col("rank") <= k)
+
+
+def _cut_before_shuffles(spark: SparkSession, k: int) -> None:
+    """Spark cuts a ranking before its shuffle only up to this limit. It changes no result, so a deeper ranking raises it
+    for the session."""
+    if int(spark.conf.get(CUT_LIMIT)) < k:
+        spark.conf.set(CUT_LIMIT, str(k))
 
 
 HASH_DIGITS = 3

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +60,22 @@ def discount(rank: Column) -> Column:
     return F.lit(1.0) / F.log2(rank + F.lit(1.0))
 
 
-def token_jaccard(query: Column, text: Column) -> Column:
-    """Shared words over all words of the pair; a model-free stand-in for a pair scorer."""
-    q, d = F.array_distinct(tokenize(query)), F.array_distinct(tokenize(text))
-    shared = F.size(F.array_intersect(q, d))
-    return F.coalesce(F.try_divide(shared.cast("double"), F.size(q) + F.size(d) - shared), F.lit(0.0))
+@dataclass(frozen=True)
+class PairScorer:
+    """A pair score in two steps: ``prepare`` is made once of every query and every text, ``score`` of a pair of what it
+    made. It may be called like any scorer, with a query and a text."""
+
+    prepare: Callable[[Column], Column]
+    score: Callable[[Column, Column], Column]
+
+    def __call__(self, query: Column, text: Column) -> Column:
+        return self.score(self.prepare(query), self.prepare(text))
+
+
+def _shared_words(query: Column, text: Column) -> Column:
+    shared = F.size(F.array_intersect(query, text))
+    return F.coalesce(F.try_divide(shared.cast("double"), F.size(query) + F.size(text) - shared), F.lit(0.0))
+
+
+token_jaccard = PairScorer(lambda text: F.array_distinct(tokenize(text)), _shared_words)
+"""Shared words over all words of the pair; a model-free stand-in for a pair scorer."""

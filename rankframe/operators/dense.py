@@ -203,6 +203,8 @@ def dense_search(
             return _search_blocks(_blocks(batches, block), grouped, by, k, tie, tie_desc, out)
 
         found = stored.mapInArrow(scan, schema)
+        # with ``by`` the vectors come out of a join as a rule, and asking for its tasks would run it
+        tasks = None if by else stored.rdd.getNumPartitions()
     else:
         stripes = -(-needed // query_bytes)
         cells = max(1, -(-stored.count() * size["dim"] * 8 // CELL_BYTES))
@@ -219,6 +221,7 @@ def dense_search(
                 _search_blocks(pieces, _grouped_queries(q, by), by, k, tie, tie_desc, out), out
             )
 
+        tasks = None
         found = left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(cell, schema)
-    ranked = top_k(found, k, by=[*by, "qid"], tie=tie, tie_desc=tie_desc)
+    ranked = top_k(found, k, by=[*by, "qid"], tie=tie, tie_desc=tie_desc, tasks=tasks)
     return ranked.select(*by, "qid", "docid", "score", "rank")

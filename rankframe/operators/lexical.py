@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.functions.ranking import top_k
+from rankframe.functions.ranking import top_k, written
 from rankframe.functions.scoring import idf, rounded_sum, tf_saturation
-from rankframe.functions.sizing import fits_broadcast
+from rankframe.functions.sizing import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
 from rankframe.functions.text import assemble_text, tokenize
 from rankframe.operators.keys import judged_corpus, split_heavy
 
@@ -17,13 +17,26 @@ DOCUMENT_MARK = ""
 """Stands among a document's words once per document. No word is empty, so its document frequency is the
 number of documents and its lengths add up to the number of words."""
 
-PUSHED_TERMS = 5000
+BUCKETS = 64
+"""Folders of postings in a stored index, by a hash of the term."""
+
+SEED_DEPTH = 4
+"""A search takes its first threshold from the best blocks of each query that hold this many times k postings."""
+
+SLACK = 1e-6
+"""Bounds are sums in another order than scores: a block counts as out of reach only below the threshold by this much."""
 
 
 class Index(NamedTuple):
-    """``postings(docid, term, tf, dl)``, ``terms(term, df)`` and the one row ``stats(n, total, avgdl)``."""
+    """``postings(term, bucket, block, docid, tf, dl)``, ``blocks(term, bucket, block, n, max_tf, min_dl)``,
+    ``terms(term, df)`` and the one row ``stats(n, total, avgdl)``.
+
+    A block holds a term's postings of like frequency and document length (each within a factor of two), so that its
+    largest frequency and least length bound the score of every posting in it closely, for any k1 and b.
+    """
 
     postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
@@ -34,14 +47,42 @@ def doc_tokens(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return docs.select("docid", words.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
+def term_counts(tokens: Column) -> Column:
+    """The distinct words of an array with how often each occurs, counted inside the row: equal words are neighbours
+    once sorted, and a run's length is the distance between its end and the one before."""
+
+    def runs(words: Column) -> Column:
+        end = lambda word, i: F.when(word.eqNullSafe(F.get(words, i + 1)), F.lit(None)).otherwise(i + 1)
+        ends = F.array_compact(F.transform(words, end))
+        begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
+        # of an empty array nothing is left but one beginning
+        return F.zip_with(
+            ends,
+            F.slice(begins, F.lit(1), F.size(ends)),
+            lambda end, begin: F.struct(F.get(words, end - 1).alias("term"), (end - begin).cast("long").alias("tf")),
+        )
+
+    # The array of one binds the sorted words to a name; without it every look at a word would sort them again.
+    return F.transform(F.array(F.sort_array(tokens)), runs)[0]
+
+
+def doc_terms(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """``(docid, dl, terms)``, one row for each document: the words of its text with their counts."""
+    return doc_tokens(docs, text).select("docid", "dl", term_counts(F.col("tokens")).alias("terms"))
+
+
 def postings(tokens: DataFrame) -> DataFrame:
-    """Term frequency of each (document, term).
+    """Term frequency of each (document, term), from ``doc_tokens``, without a shuffle.
 
-    The outer explode keeps the optimizer from adding a ``size(tokens) > 0`` filter, which it would push
+    The outer explode keeps the optimizer from adding a ``size(terms) > 0`` filter, which it would push
     down to the scan and tokenize every text a second time for.
     """
-    words = tokens.select("docid", "dl", F.explode_outer("tokens").alias("term")).filter(F.col("term").isNotNull())
-    return words.groupBy("docid", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    return _posting_rows(tokens.select("docid", "dl", term_counts(F.col("tokens")).alias("terms")))
+
+
+def _posting_rows(counted: DataFrame) -> DataFrame:
+    rows = counted.select("docid", "dl", F.explode_outer("terms").alias("_term")).filter(F.col("_term").isNotNull())
+    return rows.select("docid", "_term.term", "_term.tf", "dl")
 
 
 def doc_freq(posting_rows: DataFrame) -> DataFrame:
@@ -60,10 +101,27 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return counts.withColumn("avgdl", F.try_divide(F.col("total").cast("double"), F.col("n")))
 
 
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _block() -> Column:
+    """Number of a posting's block among those of its term: frequency and length by powers of two."""
+    return F.floor(F.log2("tf")).cast("int") * F.lit(32) + F.floor(F.log2("dl")).cast("int")
+
+
+def block_bounds(posting_rows: DataFrame) -> DataFrame:
+    return posting_rows.groupBy("term", "bucket", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
+    )
+
+
 def build_index(docs: DataFrame, text: Column | None = None) -> Index:
-    tokens = doc_tokens(docs, text)
-    rows = postings(tokens)
-    return Index(rows, doc_freq(rows), corpus_stats(tokens))
+    """The tables of an index. Words are counted once and stored by document; all tables are read from there."""
+    counted = written(doc_terms(docs, text))
+    rows = _posting_rows(counted).withColumns({"bucket": _bucket("term"), "block": _block()})
+    blocks = block_bounds(rows)
+    return Index(rows, blocks, blocks.groupBy("term").agg(F.sum("n").alias("df")), corpus_stats(counted))
 
 
 def inverted_index(
@@ -120,30 +178,30 @@ def bm25_search(
     k1: float = 1.5,
     b: float = 0.75,
     text: Column | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """BM25 top-k straight from documents (one row per id) in one pass over them.
 
-    With ``qrels`` only judged documents count, also for document frequencies and lengths. The query
-    vocabulary, where it is small by measurement, is broadcast into the scan, so that a word no query
-    uses is gone before the shuffle. The shuffle is by document and length, not by document alone: Spark
+    With ``qrels`` only judged documents count, also for document frequencies and lengths. Words are counted inside
+    their document's row. The query vocabulary, where it measures up to ``broadcast_bytes``, is broadcast into the
+    scan, so that a word no query uses is gone before the shuffle. The shuffle is by document and length, not by document alone: Spark
     drops a repartitioning that documents already have (from ``dedupe_by_id``, say), and each reader of the
     exchange would tokenize for itself.
     """
     if qrels is not None:
         docs = judged_corpus(docs, qrels)
     wanted = query_terms(queries)
-    hint = F.broadcast if fits_broadcast(wanted) else (lambda df: df)
-
-    spark = queries.sparkSession
-    mark = spark.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
-    vocabulary = wanted.select("term").distinct().unionByName(mark)
-    words = doc_tokens(docs, text).select(
-        "docid", "dl", F.explode(F.array_append("tokens", F.lit(DOCUMENT_MARK))).alias("term")
-    )
-    words = words.join(hint(vocabulary), "term", "left_semi").repartition("docid", "dl")
-    matches = words.groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hint = F.broadcast if fits_broadcast(wanted, broadcast_bytes) else (lambda df: df)
+
+    marked = queries.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
+    vocabulary = wanted.select("term").distinct().unionByName(marked)
+    mark = F.struct(F.lit(DOCUMENT_MARK).alias("term"), F.lit(1).cast("long").alias("tf"))
+    words = doc_terms(docs, text).select("docid", "dl", F.inline(F.array_append("terms", mark)))
+    matches = words.join(hint(vocabulary), "term", "left_semi").repartition("docid", "dl")
+    # Counting by tf keeps that column in this reader of the exchange, as in the other; with fewer columns it would be
+    # an exchange of its own, and every text would be read a second time.
     term_stats = matches.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("dl").cast("long").alias("total")
+        F.count_if(F.col("tf") > 0).alias("df"), F.sum("dl").cast("long").alias("total")
     )
     is_mark = F.col("term") == DOCUMENT_MARK
     totals = term_stats.agg(
@@ -154,25 +212,71 @@ def bm25_search(
     return _rank(matches, hint(_weights(wanted, frequencies, totals)), k, k1, b)
 
 
-def _one_of(terms: list[str]) -> Column:
-    """``term IN (…)``, the terms in hex so that no quote or backslash matters. One parsed expression is
-    much faster to build than a column per term."""
-    if not terms:
-        return F.lit(False)
-    return F.expr("term IN ({})".format(", ".join(f"CAST(X'{t.encode().hex()}' AS STRING)" for t in terms)))
+def _parts(posting_rows: DataFrame, blocks: DataFrame, k1: float, b: float) -> DataFrame:
+    """Each posting's share of the score of every query that has its block in ``blocks``, dealt out by document."""
+    needed = posting_rows.join(broadcast_if_small(blocks.select("term", "block").distinct()), ["term", "block"], "left_semi")
+    dealt = needed.repartition("docid").join(broadcast_if_small(blocks), ["term", "block"])
+    share = F.col("weight") * tf_saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    return dealt.select("qid", "docid", share.alias("part"))
+
+
+def _opened(index: Index, wanted: DataFrame) -> Index:
+    """The index, postings and bounds cut to the buckets of the wanted words. A stored index opens no other folder."""
+    buckets = [row["bucket"] for row in wanted.select(_bucket("term").alias("bucket")).distinct().collect()]
+    kept = {name: getattr(index, name).filter(F.col("bucket").isin(buckets)) for name in ("postings", "blocks")}
+    return index._replace(**kept)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 top-k from index tables. A short vocabulary becomes a filter that the index scans use to skip
-    the row groups of other terms; a longer one is joined."""
+    """BM25 top-k from index tables: all postings of the queries' words, once. The buckets to open are collected, at most
+    ``BUCKETS`` numbers; words are joined, however many there are."""
     wanted = query_terms(queries)
-    vocabulary = wanted.select("term").distinct()
-    small = fits_broadcast(wanted)
-    hint = F.broadcast if small else (lambda df: df)
-    listed = [row["term"] for row in vocabulary.limit(PUSHED_TERMS + 1).collect()] if small else []
-    if small and len(listed) <= PUSHED_TERMS:
-        matches, terms = (table.filter(_one_of(listed)) for table in (index.postings, index.terms))
-    else:
-        matches, terms = index.postings.join(hint(vocabulary), "term", "left_semi"), index.terms
-    matches = matches.repartition("docid", "dl")
-    return _rank(matches, hint(_weights(wanted, terms, index.stats)), k, k1, b)
+    hint = F.broadcast if fits_broadcast(wanted) else (lambda df: df)
+    rows = _opened(index, wanted).postings.select("docid", "dl", "term", "tf")
+    matches = rows.join(hint(wanted.select("term").distinct()), "term", "left_semi").repartition("docid", "dl")
+    return _rank(matches, hint(_weights(wanted, index.terms, index.stats)), k, k1, b)
+
+
+def bounded_search(index: Index, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The same run as ``search``, from the blocks that can matter: for short queries over a large corpus, where one
+    frequent word would bring in all its documents.
+
+    A block's bound is the highest share of a score that a posting of it can have. The postings of each query's best
+    blocks give k documents, and with their shares a threshold that the k-th score reaches at least. With the query's
+    terms in order of their highest bounds, a block is essential if its bound and the highest ones of all terms before
+    reach that threshold: a document without a posting in an essential block cannot, whatever else it holds. So
+    candidates come from the essential blocks, and only a candidate's other postings are looked up. In long queries the
+    bounds of many words add up to more than any score, and ``search`` is the faster way.
+    """
+    wanted = query_terms(queries)
+    hint = F.broadcast if fits_broadcast(wanted) else (lambda df: df)
+    rows, blocks = _opened(index, wanted)[:2]
+
+    weights = hint(_weights(wanted, index.terms, index.stats))
+    bound = F.col("weight") * tf_saturation(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"), k1, b)
+    bounded = written(blocks.join(weights, "term").select("qid", "term", "block", "n", "weight", "avgdl", bound.alias("bound")))
+
+    by_bound = Window.partitionBy("qid").orderBy(F.desc("bound"), "term", "block").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = bounded.withColumn("_before", F.sum("n").over(by_bound)).filter(F.coalesce("_before", F.lit(0)) < SEED_DEPTH * k)
+    begun = _parts(rows, seeds, k1, b).groupBy("qid", "docid").agg(F.sum("part").alias("score"))
+    reached = top_k(begun, k).filter(F.col("rank") == k).select("qid", F.col("score").alias("threshold"))
+
+    highest = bounded.groupBy("qid", "term").agg(F.max("bound").alias("_highest"))
+    by_term = Window.partitionBy("qid").orderBy("_highest", "term").rowsBetween(Window.unboundedPreceding, -1)
+    highest = highest.select("qid", "term", F.coalesce(F.sum("_highest").over(by_term), F.lit(0.0)).alias("_below"))
+    judged = bounded.join(highest, ["qid", "term"]).join(reached, "qid", "left")
+    in_reach = F.col("threshold").isNull() | (F.col("bound") + F.col("_below") >= F.col("threshold") - SLACK)
+    judged = written(judged.withColumn("essential", in_reach).drop("_below"))
+
+    others = judged.filter(~F.col("essential"))
+    spare = others.groupBy("qid", "term").agg(F.max("bound").alias("_most")).groupBy("qid").agg(F.sum("_most").alias("spare"))
+    limits = judged.groupBy("qid").agg(F.max("threshold").alias("threshold")).join(spare, "qid", "left")
+    found = _parts(rows, judged.filter("essential"), k1, b).groupBy("qid", "docid").agg(F.sum("part").alias("part"))
+    found = found.join(broadcast_if_small(limits), "qid")
+    open_ = F.col("threshold").isNull() | (F.col("part") + F.coalesce("spare", F.lit(0.0)) >= F.col("threshold") - SLACK)
+    candidates = written(found.filter(open_).select("qid", "docid", "part"))
+
+    wanted_docs = broadcast_if_small(candidates.select("docid").distinct())
+    left = _parts(rows.join(wanted_docs, "docid", "left_semi"), others, k1, b).join(broadcast_if_small(candidates.select("qid", "docid")), ["qid", "docid"], "left_semi")
+    scored = candidates.unionByName(left).groupBy("qid", "docid").agg(rounded_sum(F.sum("part")).alias("score"))
+    return top_k(scored, k).select("qid", "docid", "score", "rank")

@@ -13,7 +13,7 @@ from rankframe.functions.text import PASSAGE_PREFIX, assemble_text, is_blank, no
 from rankframe.operators.dense import dense_search
 from rankframe.operators.encoding import embeddings_or_compute
 from rankframe.operators.keys import dedupe_by_id
-from rankframe.operators.rerank import Scorer, for_scoring, rerank
+from rankframe.operators.rerank import Scorer, for_scoring, rerank, steps
 from rankframe.sources.readers import CORPUS_FILES, read_snapshots, snapshot_names
 from rankframe.sources.writers import in_run_order, to_trec_lines
 
@@ -32,13 +32,14 @@ def snapshot_runs(
     near = written(dense_search(queries, embeddings, k, by=["snapshot"]).select("snapshot", "qid", "docid"))
     keys = near.select("snapshot", "docid").distinct()
     needed = docs.join(broadcast_if_small(keys), ["snapshot", "docid"], "left_semi")
-    texts = needed.select("snapshot", "docid", assemble_text().alias("text"))
-    asked = queries.select("snapshot", "qid", strip_prefix(normalize_query("query")).alias("query"))
+    form, score = steps(scorer)
+    texts = needed.select("snapshot", "docid", form(assemble_text()).alias("text"))
+    asked = queries.select("snapshot", "qid", form(strip_prefix(normalize_query("query"))).alias("query"))
     hydrated = near.join(texts, ["snapshot", "docid"], "left").join(
         broadcast_if_small(asked), ["snapshot", "qid"]
     )
-    score = scorer(F.col("query"), F.coalesce("text", F.lit("")))
-    scored = for_scoring(hydrated, "snapshot").select("snapshot", "qid", "docid", score.alias("score"))
+    pair = score(F.col("query"), F.coalesce("text", form(F.lit(""))))
+    scored = for_scoring(hydrated, "snapshot").select("snapshot", "qid", "docid", pair.alias("score"))
     return with_rank(scored, by=["snapshot", "qid"], depth=k)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.functions.ranking import shuffle_partitions
-from rankframe.operators.lexical import Index, doc_freq
+from rankframe.functions.ranking import shuffle_partitions, written
+from rankframe.operators.lexical import Index, block_bounds
 
 
 LINE_DIGITS = 6
@@ -22,6 +22,30 @@ def write_run(run: DataFrame, path: str) -> None:
     (in_run_order(run) if "rank" in run.columns else run).write.mode("overwrite").option("header", True).csv(path)
 
 
+ROW_BITS = 33
+"""``monotonically_increasing_id`` has the row's place in its partition in this many low bits."""
+
+
+def with_position(run: DataFrame, score: str = "score") -> DataFrame:
+    """The run with ``position``, its row number from 0 in the order of the whole run, in partitions that follow each
+    other in that order. The rows are range-partitioned by the whole order, so no query is one task's work; a row's
+    position is its place in its partition and the rows of the partitions before, of which there is one number each."""
+    order = ["qid", F.desc(score), "docid"]
+    placed = written(run.repartitionByRange(shuffle_partitions(run), *order).sortWithinPartitions(*order))
+    numbered = placed.withColumn("_id", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("_part", F.shiftright("_id", ROW_BITS))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    in_part = F.col("_id") - F.shiftleft("_part", ROW_BITS)
+    return numbered.join(F.broadcast(starts), "_part").select(*run.columns, (F.col("_start") + in_part).alias("position"))
+
+
+def write_ordered_run(run: DataFrame, path: str, score: str = "score") -> None:
+    """CSV of the run in one order: part files follow each other by name, rows by ``position``, a column of the file."""
+    with_position(run, score).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_embeddings(embeddings: DataFrame, path: str) -> None:
     embeddings.write.mode("overwrite").parquet(path)
 
@@ -74,12 +98,16 @@ def write_indexable(docs: DataFrame, path: str) -> None:
 
 
 def write_index(index: Index, path: str) -> None:
-    """Index tables. Postings are laid out by term, so that a search skips the row groups of other terms;
-    a term that fills many files is split by document. The other tables are small or read from these."""
-    n = shuffle_partitions(index.postings)
-    laid = index.postings.repartitionByRange(n, "term", "docid").sortWithinPartitions("term", "docid")
-    laid.write.mode("overwrite").parquet(f"{path}/postings")
-    stored = laid.sparkSession.read.parquet(f"{path}/postings")
-    terms = doc_freq(stored).repartitionByRange(n, "term").sortWithinPartitions("term")
+    """Index tables. Postings lie in folders by bucket, a hash of the term, so that a search opens only the buckets of its
+    terms, and inside by term and block; a term that fills many files is split by document. Block bounds are read from
+    the stored postings, document frequencies from the bounds."""
+    spark, n = index.postings.sparkSession, shuffle_partitions(index.postings)
+    order = ["bucket", "term", "block", "docid"]
+    laid = index.postings.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    bounds = block_bounds(spark.read.parquet(f"{path}/postings")).repartition("bucket").sortWithinPartitions(*order[:3])
+    bounds.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    stored = spark.read.parquet(f"{path}/blocks")
+    terms = stored.groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange(n, "term").sortWithinPartitions("term")
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankframe import cosine, dense_search
+from rankframe import cosine, dense_search, top_k
+from rankframe.functions import ranking
 from rankframe.operators import dense
 from rankframe.operators.encoding import model_encoder
 
@@ -123,3 +124,24 @@ def test_vectors_with_nan_are_refused(spark):
     query = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, embedding array<double>")
     with pytest.raises(Exception, match="no finite number"):
         dense_search(query, docs, 3).collect()
+
+
+@pytest.mark.parametrize("tasks,k", [(1000, 1500), (1000, 3), (70_000, 5), (9, 7)])
+def test_top_k_merges_in_rounds(spark, monkeypatch, tasks, k):
+    """Lists of many tasks; every shuffle is below a cut, also beyond Spark's own limit."""
+    n = 40 if tasks > 1000 else tasks
+    if tasks > 1000:
+        monkeypatch.setattr(ranking, "FAN_IN", 3)
+        tasks = n
+    rows = spark.range(0, n * 20, 1, n).select(
+        (F.col("id") % 2).alias("qid"), F.col("id").alias("docid"), (F.col("id") * 7919 % 1000).cast("double").alias("score")
+    )
+    run = top_k(rows, k, tasks=tasks)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    rounds = 1
+    while ranking.FAN_IN**rounds < tasks:
+        rounds += 1
+    assert plan.count("row_number(), ") == 2 * rounds and plan.count("Exchange hashpartitioning") == rounds
+    want = sorted(((i % 2, -(i * 7919 % 1000), i) for i in range(n * 20)))
+    want = [(q, d, float(-s), r + 1) for q in (0, 1) for r, (_, s, d) in enumerate([w for w in want if w[0] == q][:k])]
+    assert sorted((r["qid"], r["docid"], r["score"], r["rank"]) for r in run.collect()) == sorted(want)

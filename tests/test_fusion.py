@@ -86,12 +86,12 @@ def test_a_heavy_query_is_ranked_in_parts(spark, pairs):
     assert ordered(with_rank(frame)) == ordered(with_rank(frame, depth=len(rows)))
 
 
-def test_salted_top_k(spark, monkeypatch):
+def test_top_k_in_rounds(spark, monkeypatch):
     import rankframe.functions.ranking as ranking
 
     frame = spark.range(500).select(
         F.lit("q").alias("qid"), F.col("id").alias("docid"), (F.col("id") % 17).cast("double").alias("score")
     )
     plain = ordered(top_k(frame, 40))
-    monkeypatch.setattr(ranking, "TASKS_PER_SALT", 1)
+    monkeypatch.setattr(ranking, "FAN_IN", 2)
     assert ordered(top_k(frame, 40)) == plain

@@ -17,7 +17,7 @@ from rankframe import (
     token_jaccard,
     weighted_fusion,
 )
-from rankframe.operators.encoding import model_encoder
+from rankframe.operators.encoding import model_encoder, scores_or_compute
 from rankframe.sources.readers import read_trec_run
 
 WORDS = ["solar", "wind", "cell", "film", "grid", "tide", "ocean", "heat"]
@@ -124,3 +124,43 @@ def test_rerank_from_vectors_keeps_unknown_documents(spark):
     assert [tuple(r) for r in run.collect()] == [("q", "b", 1.0, 1)]
     run = rerank_from_embeddings(asked, stored, docs, token_jaccard, 3)
     assert [r["docid"] for r in run.orderBy("rank").collect()] == ["b", "a", "c"]
+
+
+def counted_scorer(calls):
+    """A scorer that counts the pairs it is asked for."""
+
+    @F.udf("double")
+    def score(query, text):
+        calls.add(1)
+        return float(len(text) - len(query))
+
+    return score
+
+
+def test_pairs_of_texts_are_scored_once(spark, tmp_path, rows):
+    path = str(tmp_path / "scores")
+    texts = [("q1", "a", "x", "long"), ("q2", "b", "x", "long"), ("q1", "c", "x", ""), ("q1", "d", "xl", "ong")]
+    pairs = spark.createDataFrame(texts * 2, "qid string, docid string, query string, text string")
+    calls = spark.sparkContext.accumulator(0)
+    want = sorted([("q1", "a", 3.0), ("q2", "b", 3.0), ("q1", "c", -1.0), ("q1", "d", 1.0)] * 2)
+    assert rows(scores_or_compute(pairs, path, counted_scorer(calls))) == want and calls.value == 3
+    more = pairs.unionByName(spark.createDataFrame([("q3", "e", "y", "z")], pairs.schema))
+    assert rows(scores_or_compute(more, path, counted_scorer(calls))) == sorted([*want, ("q3", "e", 0.0)]) and calls.value == 4
+
+
+def test_changed_texts_get_new_vectors(spark, tmp_path, rows):
+    path = str(tmp_path / "vectors")
+    docs = spark.createDataFrame([("a", "solar"), ("b", "wind")], "docid string, text string")
+    embeddings_or_compute(docs, path, ENCODER)
+    changed = docs.withColumn("text", F.when(F.col("docid") == "a", "tide tide").otherwise(F.col("text")))
+    found = {r["docid"]: list(r["embedding"]) for r in embeddings_or_compute(changed, path, ENCODER).collect()}
+    assert found["a"][WORDS.index("tide")] == 2.0 and found["a"][0] == 0.0 and found["b"][1] == 1.0
+    before = {r["docid"]: list(r["embedding"]) for r in embeddings_or_compute(docs, path, lambda c: F.raise_error(F.lit("again")).cast("array<float>")).collect()}
+    assert before["a"][0] == 1.0
+
+
+def test_vectors_without_a_fingerprint_are_made_anew(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    docs = spark.createDataFrame([("a", "solar")], "docid string, text string")
+    spark.createDataFrame([("a", [9.0])], "docid string, embedding array<float>").write.parquet(path)
+    assert [len(r["embedding"]) for r in embeddings_or_compute(docs, path, ENCODER).collect()] == [8]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import rankframe.operators.lexical as lexical
 from rankframe import bm25_search, build_index, dedupe_by_id, judged_corpus
 from rankframe.operators.lexical import doc_tokens, inverted_index, postings
+from rankframe.sources import readers, writers
 
 
 def brute_bm25(queries, docs, k, k1=1.5, b=0.75):
@@ -69,11 +71,62 @@ def test_partitioning_does_not_matter(frames):
 def test_too_large_a_vocabulary_is_joined(frames, monkeypatch):
     docs, queries = frames
     want = ordered(bm25_search(queries, docs, 10))
-    monkeypatch.setattr(lexical, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(lexical, "fits_broadcast", lambda *a: False)
     assert ordered(bm25_search(queries, docs, 10)) == want
     assert ordered(lexical.search(build_index(docs), queries, 10)) == want
 
 
+@pytest.mark.parametrize("k", [1, 3, 200])
+def test_bounded_search_is_exact(frames, k):
+    docs, queries = frames
+    index = build_index(docs)
+    assert ordered(lexical.bounded_search(index, queries, k)) == brute_bm25(QUERIES, DOCS, k)
+    assert ordered(lexical.bounded_search(index, queries, k, k1=0.9, b=0.4)) == brute_bm25(QUERIES, DOCS, k, 0.9, 0.4)
+
+
+def test_bounded_search_leaves_frequent_words_out(spark, monkeypatch):
+    """A rare and a frequent word: only documents with the rare one are scored."""
+    texts = {f"d{i:04}": " ".join(["the"] * (1 + i % 3) + [f"x{i}"] * 8 + ["rare"] * (i % 100 == 0)) for i in range(2000)}
+    docs = spark.createDataFrame([(d, t, None) for d, t in texts.items()], "docid string, title string, abstract string")
+    queries = spark.createDataFrame([("q", "the rare")], "qid string, query string")
+    stored = []
+    monkeypatch.setattr(lexical, "written", lambda df: stored.append(df.cache()) or stored[-1])
+    got = ordered(lexical.bounded_search(build_index(docs), queries, 10))
+    assert got == brute_bm25({"q": "the rare"}, texts, 10)
+    assert 10 <= sum(df.count() for df in stored if "part" in df.columns) <= 20
+
+
+def test_every_text_is_tokenized_once(frames, tmp_path):
+    docs, queries = frames
+    index = build_index(docs)
+    for table in (*index, lexical.search(index, queries, 10)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "split(" not in plan or "query" in plan
+        assert "title" not in plan and "abstract" not in plan
+
+
+def test_stored_index_opens_only_the_buckets_of_the_words(spark, frames, tmp_path):
+    docs, queries = frames
+    writers.write_index(build_index(docs), str(tmp_path / "index"))
+    index = readers.read_index(spark, str(tmp_path / "index"))
+    assert ordered(lexical.search(index, queries, 200)) == brute_bm25(QUERIES, DOCS, 200)
+    assert ordered(lexical.bounded_search(index, queries, 5)) == brute_bm25(QUERIES, DOCS, 5)
+    many = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(14)))], "qid string, query string")
+    plan = lexical.search(index, many, 10)._jdf.queryExecution().executedPlan().toString()
+    line = next(line for line in plan.splitlines() if "FileScan" in line and "tf#" in line)
+    listed = re.search(r"PartitionFilters: \[([^\]]*)", line).group(1)
+    assert "bucket" in listed and 5 < listed.count(",") < 16
+
+
+def test_counts_are_made_below_the_first_exchange(frames):
+    docs, queries = frames
+    plan = bm25_search(queries, docs, 10)._jdf.queryExecution().executedPlan().toString()
+    exchange = next(line for line in plan.splitlines() if "REPARTITION_BY_COL" in line)
+    below = plan.split(exchange)[1].splitlines()[1]
+    assert "tf#" in below and plan.count("FileScan") == plan.count("LocalTable") == 0
+
+
+
 def test_index_tables(frames):
     docs, _ = frames
     index = build_index(docs)
