@@ -155,6 +155,12 @@ def dense_topk_deep(spark: SparkSession, sf: str) -> DataFrame:
     return _six(t.dense_run(spark, sf, 1500), "score")
 
 
+def dense_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Over vectors laid out by pivots, where whole runs of them are out of reach of a query."""
+    run = rf.dense_search(t.query_vectors(spark, sf), rf.by_pivot(t.vectors(spark, sf)), 200)
+    return _six(run, "score")
+
+
 def dense_near_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Only rank and document: the scores of a pair agree in the decimals that are shown."""
     run = rf.dense_search(t.query_vectors(spark, sf), t.near_tied_vectors(spark, sf), 20)
@@ -366,6 +372,7 @@ QUERIES = {
         dense_topk,
         dense_topk_blocked,
         dense_topk_deep,
+        dense_pruned,
         dense_near_ties,
         dense_grid,
         zero_based_rank,

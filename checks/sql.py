@@ -250,6 +250,7 @@ group by all""",
     "search_top10": with_(CORPUS, QUERIES, TOKENS, POSTINGS, bm25("run", 10))
     + f"{SHOWN}run",
     "dense_topk": with_(VECTORS, dense("run", 200)) + f"{SHOWN}run",
+    "dense_pruned": with_(VECTORS, dense("run", 200)) + f"{SHOWN}run",
     "dense_topk_deep": with_(VECTORS, dense("run", 1500)) + f"{SHOWN}run",
     "dense_topk_blocked": with_(VECTORS, dense("run", 100, tie="docid desc")) + f"{SHOWN}run",
     "zero_based_rank": with_(VECTORS, dense("run", RUN_K))

@@ -7,7 +7,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from rankframe.functions.ranking import top_k, with_rank
 from rankframe.functions.scoring import PairScorer, cosine, token_jaccard
 from rankframe.functions.text import assemble_text, normalize_query, strip_prefix, tokenize
-from rankframe.operators.dense import dense_search
+from rankframe.operators.dense import by_pivot, dense_search
 from rankframe.operators.encoding import embeddings_or_compute, encode, model_scorer
 from rankframe.operators.evaluation import coverage, evaluate, mean_metric, ndcg_per_query, qrels_map
 from rankframe.operators.fusion import rrf, weighted_fusion
@@ -29,6 +29,7 @@ __all__ = [
     "bm25_search",
     "bounded_search",
     "build_index",
+    "by_pivot",
     "cosine",
     "coverage",
     "dedupe_by_id",

@@ -2,7 +2,9 @@
 
 The work is a product of two matrices, which Spark cuts into blocks: a task multiplies its documents with
 a block of queries and keeps the k best per query, so no (query, document) pair is ever a row unless it may
-still reach the result.
+still reach the result. Runs of ``STEP`` documents have a pivot, their mean direction, and an angle that covers them:
+by the triangle inequality none of them is closer to a query than the query's angle to the pivot less that angle, and
+a query whose k-th best is closer than this leaves them out. ``by_pivot`` lays vectors out so that such runs are narrow.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rankframe.functions.ranking import top_k, written
+from rankframe.functions.ranking import shuffle_partitions, top_k, written
 from rankframe.functions.sizing import BROADCAST_BYTES
 from rankframe.functions.text import normalize_query
 
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 512
+STEP = 1024
+SLACK = 1e-7
+"""Bounds count as out of reach only by more than this cosine."""
+PIVOTS = 256
 FOUND_BYTES = 32
 """Size of one kept (score, document) entry."""
 CELL_BYTES = 256 * 1024 * 1024
@@ -57,6 +63,19 @@ def _order_codes(values: np.ndarray, descending: bool) -> np.ndarray:
     return codes.max(initial=0) - codes if descending else codes
 
 
+def _bounds(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each query a cosine that none of ``docs`` exceeds. A vector without length has the cosine 0 with all."""
+    pivot = docs.mean(axis=0)
+    size = np.sqrt(pivot @ pivot)
+    if size == 0:
+        return np.ones(len(queries))
+    pivot /= size
+    to_docs = np.arccos(np.clip(docs @ pivot, -1.0, 1.0)).max()
+    to_queries = np.arccos(np.clip(queries @ pivot, -1.0, 1.0))
+    bound = np.cos(np.maximum(to_queries - to_docs, 0.0))
+    return bound if (docs != 0).any(axis=1).all() else np.maximum(bound, 0.0)
+
+
 class _Best:
     """The k best documents of each query among the blocks seen so far."""
 
@@ -67,7 +86,18 @@ class _Best:
         self.tie = self.docid = None
         self.floor = np.full(n_queries, np.iinfo(np.int64).min)
 
-    def add(self, queries: np.ndarray, docs: np.ndarray, docid: np.ndarray, tie: np.ndarray) -> None:
+    def add(self, queries: np.ndarray, docs: np.ndarray, docid: np.ndarray, tie: np.ndarray) -> int:
+        """Takes in a block, run by run; returns the number of (query, run) products that the bounds spared."""
+        spared = 0
+        for start in range(0, len(docid), STEP):
+            run = slice(start, start + STEP)
+            open_ = np.flatnonzero(_bounds(queries, docs[run]) + SLACK >= self.floor / SCALE)
+            spared += self.n_queries - len(open_)
+            if len(open_):
+                self._add(open_, queries[open_], docs[run], docid[run], tie[run])
+        return spared
+
+    def _add(self, asked: np.ndarray, queries: np.ndarray, docs: np.ndarray, docid: np.ndarray, tie: np.ndarray) -> None:
         n, keep = len(docid), min(self.k, len(docid))
         scores = np.rint((queries @ docs.T) * SCALE).astype(np.int64)
         place = np.argsort(np.argsort(_order_codes(tie, self.descending), kind="stable"), kind="stable")
@@ -76,8 +106,8 @@ class _Best:
         else:
             cells = np.broadcast_to(np.arange(n), scores.shape)
         kept = np.take_along_axis(scores, cells, axis=1)
-        query, cell = np.nonzero(kept >= self.floor[:, None])
-        self._merge(query, kept[query, cell], docid[cells[query, cell]], tie[cells[query, cell]])
+        query, cell = np.nonzero(kept >= self.floor[asked][:, None])
+        self._merge(asked[query], kept[query, cell], docid[cells[query, cell]], tie[cells[query, cell]])
 
     def _merge(self, query: np.ndarray, score: np.ndarray, docid: np.ndarray, tie: np.ndarray) -> None:
         if self.docid is not None:
@@ -92,6 +122,23 @@ class _Best:
         self.floor[self.query[full]] = self.score[full]
 
 
+def by_pivot(embeddings: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """``embeddings`` with like vectors next to each other, to be stored or searched: dealt out in the order of the
+    nearest of ``pivots`` vectors, which are picked by a hash of their ids. A search is exact over any layout."""
+    picked = embeddings.select("docid", "embedding").orderBy(F.xxhash64(F.col("docid").cast("string")), "docid").limit(pivots)
+    centres = _matrix(picked.select("embedding").toArrow()["embedding"])
+    schema = T.StructType([*embeddings.schema.fields, T.StructField("_cell", T.IntegerType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch["embedding"])
+            cell = (rows @ centres.T).argmax(axis=1) if len(rows) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], [*batch.schema.names, "_cell"])
+
+    dealt = embeddings.mapInArrow(assign, schema).repartitionByRange(shuffle_partitions(embeddings), "_cell", "docid")
+    return dealt.sortWithinPartitions("_cell", "docid").drop("_cell")
+
+
 def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 

@@ -39,7 +39,7 @@ def test_bm25_cuts_before_the_shuffle_by_query(spark):
     assert not shuffles, "scores must be summed where the documents lie"
 
 
-@pytest.mark.parametrize("name", sorted(set(checked.QUERIES) - {"dense_topk", "dense_topk_blocked", "dense_topk_deep"}))
+@pytest.mark.parametrize("name", sorted(set(checked.QUERIES) - {"dense_topk", "dense_topk_blocked", "dense_topk_deep", "dense_pruned"}))
 def test_no_cross_join(spark, name):
     text = plan(checked.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankframe import cosine, dense_search, top_k
+from rankframe import by_pivot, cosine, dense_search, top_k
 from rankframe.functions import ranking
 from rankframe.operators import dense
 from rankframe.operators.encoding import model_encoder
@@ -145,3 +145,33 @@ def test_top_k_merges_in_rounds(spark, monkeypatch, tasks, k):
     want = sorted(((i % 2, -(i * 7919 % 1000), i) for i in range(n * 20)))
     want = [(q, d, float(-s), r + 1) for q in (0, 1) for r, (_, s, d) in enumerate([w for w in want if w[0] == q][:k])]
     assert sorted((r["qid"], r["docid"], r["score"], r["rank"]) for r in run.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("k,step", [(5, 16), (40, 7), (300, 64)])
+def test_search_over_pivots_is_exact(spark, monkeypatch, data, k, step):
+    monkeypatch.setattr(dense, "STEP", step)
+    q, qids, d, ids = data
+    stored = by_pivot(vectors(spark, d, ids), pivots=12)
+    assert sorted(r["docid"] for r in stored.collect()) == sorted(ids) and stored.columns == ["docid", "embedding"]
+    assert ordered(dense_search(vectors(spark, q, qids, "qid"), stored, k)) == brute(q, qids, d, ids, k)
+
+
+def test_bounds_spare_most_products_of_clustered_vectors():
+    centres = RNG.normal(size=(50, 12))
+    docs = np.concatenate([c + RNG.normal(size=(200, 12)) * 0.05 for c in centres])
+    docs /= np.linalg.norm(docs, axis=1, keepdims=True)
+    queries = centres[:20] / np.linalg.norm(centres[:20], axis=1, keepdims=True)
+    best = dense._Best(20, 10, False)
+    spared = 0
+    for at in range(0, len(docs), 200):
+        rows = np.arange(at, at + 200)
+        spared += best.add(queries, docs[rows], rows, rows)
+    assert spared > 0.6 * 20 * 50
+    order = np.argsort(-np.rint(queries @ docs.T * dense.SCALE), axis=1, kind="stable")[:, :10]
+    assert [best.docid[best.query == i].tolist() for i in range(20)] == order.tolist()
+
+
+def test_bounds_of_runs_with_empty_and_opposite_vectors():
+    queries = np.array([[1.0, 0.0], [0.0, 1.0]])
+    assert (dense._bounds(queries, np.array([[1.0, 0.0], [-1.0, 0.0]])) == 1).all()
+    assert (dense._bounds(queries, np.array([[0.0, -1.0], [0.0, 0.0]])) >= 0).all()
