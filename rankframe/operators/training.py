@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,28 +37,32 @@ def training_batches(pairs: DataFrame, size: int = 8, seed: int = 0) -> DataFram
     """Pairs in a repeatable random order, cut into batches: ``position`` from 0 and ``batch``.
 
     The order is that of a seeded hash. A global row number would put all rows into one task; here each
-    hash bucket is numbered by itself and shifted by the rows before it. Copies of a pair are counted
-    before the shuffle and laid out again after it.
+    hash bucket is numbered by itself and shifted by the rows before it. Ids and a hash of the rest are numbered, and
+    texts cross one exchange, to meet their positions. Copies of a pair are counted before the shuffle and laid out
+    again after it.
     """
     columns = pairs.columns
-    counted = pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    others = [c for c in columns if c not in ("qid", "docid")]
+    keys = ["qid", "docid", "_h1", "_h2"]
+    marked = pairs.withColumns({f"_h{i}": F.xxhash64(F.lit(i), *others) for i in (1, 2)})
+    counted = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     hashed = counted.withColumn("_hash", seeded_hash(seed, "qid", "docid"))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, HASH_DIGITS))
     starts = hash_bucket_starts(hashed, "_hash", F.col("_copies")).select("_bucket", "_start")
 
-    others = [c for c in columns if c not in ("qid", "docid")]
-    before = (
-        Window.partitionBy("_bucket")
-        .orderBy("_hash", "qid", "docid", *others)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy("_bucket").orderBy("_hash", *keys).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_copies").over(before), F.lit(0))
     placed = hashed.withColumn("_inside", inside).join(F.broadcast(starts), "_bucket")
+    placed = placed.select(*keys, "_copies", (F.col("_start") + F.col("_inside")).alias("_first"))
+    same = reduce(and_, [F.col(f"texts.{c}").eqNullSafe(F.col(f"placed.{c}")) for c in keys])
+    whole = marked.dropDuplicates(keys).alias("texts").join(placed.alias("placed"), same)
+    whole = whole.select(*[F.col(f"texts.{c}") for c in columns], "_copies", "_first")
+
     steps = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES_PER_STEP).cast("long"))
-    stepped = placed.withColumn("_from", F.explode(steps))
+    stepped = whole.withColumn("_from", F.explode(steps))
     last = F.least(F.col("_from") + F.lit(COPIES_PER_STEP), F.col("_copies")) - 1
     laid = stepped.withColumn("_copy", F.explode(F.sequence(F.col("_from"), last)))
-    numbered = laid.withColumn("position", F.col("_start") + F.col("_inside") + F.col("_copy"))
+    numbered = laid.withColumn("position", F.col("_first") + F.col("_copy"))
     batch = F.floor(F.col("position") / F.lit(size)).cast("long")
     return numbered.select("position", batch.alias("batch"), *columns)
 

@@ -107,3 +107,16 @@ def test_rerank_without_a_usable_pair_is_an_error(spark):
     docs = spark.createDataFrame([("1", "text")], "docid string, text string")
     with pytest.raises(ValueError, match="ids of one kind"):
         rerank(run, queries, docs, lambda query, text: F.length(text).cast("double"))
+
+
+def test_texts_of_batches_cross_one_exchange(spark):
+    pairs = spark.createDataFrame([(f"q{i}", f"d{i}", f"query {i}", f"passage {i}") for i in range(20)] * 3, "qid string, docid string, query_text string, passage_text string")
+    batches = training_batches(pairs, 4)
+    plan = batches._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [i for i, line in enumerate(plan) if "Exchange" in line and "Broadcast" not in line]
+    carried = [i for i in exchanges if "passage_text" in plan[i + 1] and "partial_first" in plan[i + 1]]
+    assert len(carried) == 1
+    got = batches.collect()
+    assert sorted(r["position"] for r in got) == list(range(60)) and len({r["passage_text"] for r in got}) == 20
+    again = {r["position"]: r["qid"] for r in training_batches(pairs.repartition(7), 4).collect()}
+    assert again == {r["position"]: r["qid"] for r in got}
