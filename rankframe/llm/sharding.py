@@ -74,7 +74,7 @@ def assign(groups: DataFrame, dims: list[str], n_shards: int, bins: int = BINS)
     """``groups`` (weight, h1, and number columns ``dims``) with ``shard``, 0 to ``n_shards`` - 1.
 
     Every dimension is scaled to 20 bits over the whole table, with 32 bits of ``h1`` below them to tell equal values
-    apart. A round is one pass that sums weights in ``bins`` bins of every open cell, so the driver sees
+    apart in a cut; how wide a cell is in a dimension goes by the scaled values alone. A round is one pass that sums weights in ``bins`` bins of every open cell, so the driver sees
     ``bins`` numbers for a cell and never a row. A cut needs about three rounds, a tree log2(shards) levels.
     """
     ranges = groups.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)], F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("texts")).first()
@@ -87,7 +87,7 @@ def assign(groups: DataFrame, dims: list[str], n_shards: int, bins: int = BINS)
     cells = groups.select("*", *keys, F.lit(0).alias("shard"))
     nodes = [Node(n_shards, int(ranges["weight"] or 0), ranges["texts"])]
     while any(node.leaves > 1 for node in nodes):
-        spans = cells.groupBy("shard").agg(*[(F.max(f"_key{i}") - F.min(f"_key{i}")).alias(f"w{i}") for i in range(len(dims))])
+        spans = cells.groupBy("shard").agg(*[(F.max(F.shiftright(f"_key{i}", TIE)) - F.min(F.shiftright(f"_key{i}", TIE))).alias(f"w{i}") for i in range(len(dims))])
         for row in spans.collect():
             nodes[row["shard"]].dim = max(range(len(dims)), key=lambda i: (row[f"w{i}"], -i))
         keyed = cells.withColumn("_key", F.get(F.array(*[f"_key{i}" for i in range(len(dims))]), _pick([n.dim for n in nodes], F.col("shard")).cast("int")))
@@ -133,12 +133,32 @@ def _without(groups: DataFrame, giants: list[tuple[int, int]]) -> DataFrame:
     return groups
 
 
-def shard(df: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, text: str = "text", row_id: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
+LEADING = 6
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column as a number in its own order: a number as it is, anything else by the first ``LEADING`` bytes of its text."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(f"`{name}`").cast("double")
+    digits = F.rpad(F.substring(F.hex(F.encode(F.col(f"`{name}`").cast("string"), "UTF-8")), 1, 2 * LEADING), 2 * LEADING, "0")
+    return F.conv(digits, 16, 10).cast("double")
+
+
+def shard(
+    df: DataFrame,
+    n_shards: int | None = None,
+    target_bytes: int | None = None,
+    text: str = "text",
+    row_id: str = "doc_id",
+    keep: tuple[str, ...] | None = None,
+    dims: tuple[str, ...] = (),
+) -> DataFrame:
     """The columns ``keep`` of ``df`` (all by default) with ``size`` (UTF-8 bytes of the text plus 1), ``text_crc32``,
     ``shard`` and ``slot``, gapless from 0 in every shard; columns of those names are replaced.
 
-    Shards are the leaves of a k-d tree over distinct texts, near equal in bytes; equal texts share one. Dimensions:
-    its smallest ``row_id`` (by hash if not a number) and the number of its copies. A text whose copies outweigh an even
+    Shards are the leaves of a k-d tree over distinct texts, near equal in bytes; equal texts share one. Dimensions: the
+    columns ``dims``, each by the least value of a text's rows (null before all), or, if none are named, its smallest
+    ``row_id`` (by hash if not a number) and the number of its copies. A text whose copies outweigh an even
     share is a shard of its own. ``target_bytes`` sets the number of
     shards from the table's bytes where ``n_shards`` is not given. A null text is empty; a null id sorts first.
     """
@@ -152,21 +172,23 @@ def shard(df: DataFrame, n_shards: int | None = None, target_bytes: int | None =
         F.crc32(whole).alias("text_crc32"),
         h1,
         h2,
+        *[as_number(df, d).alias(f"_dim{i}") for i, d in enumerate(dims)],
     )
+    named = [f"_dim{i}" for i in range(len(dims))]
     place = F.col("_id").cast("double") if isinstance(df.schema[row_id].dataType, T.NumericType) else F.xxhash64("_id").cast("double")
     groups = written(
         rows.groupBy("h1", "h2").agg(
-            F.sum("size").alias("weight"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("place")
+            F.sum("size").alias("weight"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"), *[F.min(d).alias(d) for d in named]
         )
     )
     total = groups.agg(F.sum("weight"), F.sum("copies")).first()
     n_shards = n_shards or max(1, -(-int(total[0] or 0) // target_bytes))
     giants = giant_texts(groups, int(total[0] or 0), n_shards)
-    tree = assign(_without(groups, giants), ["place", "copies"], n_shards - len(giants)).select("h1", "h2", "shard")
+    tree = assign(_without(groups, giants), named or ["place", "copies"], n_shards - len(giants)).select("h1", "h2", "shard")
     for i, (h1, h2) in enumerate(giants):
         alone = groups.filter((F.col("h1") == h1) & (F.col("h2") == h2))
         tree = tree.unionByName(alone.select("h1", "h2", F.lit(n_shards - 1 - i).alias("shard")))
-    placed = skew_join(rows, tree, ["h1", "h2"])
+    placed = skew_join(rows.drop(*named), tree, ["h1", "h2"])
 
     n_buckets = max(16, int(total[1] or 0) // (ROWS_PER_BUCKET * n_shards))
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("_id", "size", "h1"), F.lit(n_buckets)))

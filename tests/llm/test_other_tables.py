@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from rankframe.llm import byte_bpe, chat, extraction, lm_scoring, sharding, url_filter
+from rankframe.llm.columns import hash_pair
 from rankframe.llm.queries import QUERIES, RULES
 
 from . import test_documents as docs_by_hand
@@ -229,6 +230,48 @@ def test_sharding(spark, n_shards):
     assert not others or (len(others) == n_shards - 1 and max(others) - min(others) <= 0.15 * max(others) + 1000)
 
 
+def test_shards_are_the_leaves_of_a_tree(spark):
+    """Every cut runs along the dimension in which its cell is widest, near the median of its bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims = ("n_chars", "lang", "source")
+    h1 = hash_pair(F.col("text"))[0].bitwiseAND(F.lit(2**32 - 1)).alias("tie")
+    numbers = [sharding.as_number(docs, d).alias(f"x{i}") for i, d in enumerate(dims)]
+    rows = sharding.shard(docs, n_shards=8, dims=dims).select("text", "size", "shard", h1, *numbers).collect()
+    texts = {}
+    for r in rows:
+        t = texts.setdefault(r["text"], {"shard": r["shard"], "weight": 0, "tie": r["tie"], "x": [math.inf] * 3})
+        t["weight"] += r["size"]
+        t["x"] = [min(a, r[f"x{i}"]) for i, a in enumerate(t["x"])]
+    low, high = ([f(t["x"][i] for t in texts.values()) for i in range(3)] for f in (min, max))
+    for t in texts.values():
+        t["key"] = [math.floor((t["x"][i] - low[i]) * ((1 << 20) - 1) / max(high[i] - low[i], 1e-9)) for i in range(3)]
+
+    def check(first, last):
+        cell = [t for t in texts.values() if first <= t["shard"] < last]
+        if last - first > 1:
+            width = [max(t["key"][i] for t in cell) - min(t["key"][i] for t in cell) for i in range(3)]
+            dim, middle = width.index(max(width)), (first + last) // 2
+            key = lambda t: (t["key"][dim], t["tie"])
+            left, right = [t for t in cell if t["shard"] < middle], [t for t in cell if t["shard"] >= middle]
+            assert max(map(key, left)) < min(map(key, right))
+            check(first, middle)
+            check(middle, last)
+        return sum(t["weight"] for t in cell)
+
+    total = check(0, 8)
+    heaviest = max(t["weight"] for t in texts.values())
+    for s in range(8):
+        assert abs(8 * sum(t["weight"] for t in texts.values() if t["shard"] == s) - total) < 8 * 3 * heaviest
+
+
+def test_sharding_by_odd_metadata(spark):
+    rows = [(i if i % 5 else None, f"text {i % 30}" if i % 7 else None, ["en", "e", "", None, "日本"][i % 5], "same", i % 3 or None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = sharding.shard(df, n_shards=4, dims=("n_chars", "lang", "source")).collect()
+    assert len(got) == 200 and len({(r["text"] or "", r["shard"]) for r in got}) == len({r["text"] or "" for r in got})
+    assert {r["shard"] for r in got} == set(range(4))
+
+
 def test_sharding_by_target_and_of_nothing(spark):
     df = spark.createDataFrame([(i, f"{i:099}") for i in range(64)], "doc_id long, text string")
     assert Counter(r["shard"] for r in sharding.shard(df, target_bytes=1600).collect()) == {s: 16 for s in range(4)}
