@@ -5,14 +5,16 @@ named by its minwise tokens of that tree and depth, so two similar sets share a
 similarity at each of the node's functions. Nodes of at most ``leaf`` classes are compared as they are, larger ones
 branch again; what is still large at the last depth is a dense node. Comparisons come in two rounds. In the first,
 each node's classes meet its smallest class only, which joins groups of copies with a number of pairs linear in their
-size. In the second, the classes of a node meet those of other components, all of them, in blocks. Byte sketches sort
-out pairs far below the threshold; every link is confirmed on full sets.
+size. In the second, the classes of a node meet those of other components, all of them, in cells of two blocks. Byte
+sketches sort out classes without a possible partner in their cell; the others come together once more with their full
+sets, and a cell counts all its intersections at once. No pair of a cell becomes a row unless it is a link that joins
+two components. In both rounds every link is confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankframe.functions.ranking import written
-from rankframe.llm.columns import hash_pair, packed
+from rankframe.llm.columns import hash_pair, packed, strip_spaces
 from rankframe.llm.components import components
+from rankframe.llm.cover_tree import spanning
 from rankframe.llm.shingles import MinHashes, WordHashes, digest, estimated, shingle_set, sketch, stacked
 from rankframe.llm.skew import skew_join
 
@@ -38,6 +41,8 @@ DEVIATIONS = 6
 """A pair whose estimate is more than so many standard deviations below the threshold is dropped."""
 
 BLOCK = 512
+COMMON, COLUMNS = 32, 4096
+"""A shingle in more sets of a cell than ``COMMON`` is counted by a product of matrices, ``COLUMNS`` shingles at once."""
 BUCKETS = 1 << 20
 MADE = ("n_shingles", "component_id", "kept")
 
@@ -127,8 +132,8 @@ def star_pairs(members: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(batches, "a binary, b binary").distinct()
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of classes of one node but different components, as far as the sketches let them pass.
+def cells(members: DataFrame) -> DataFrame:
+    """(node, i, j, block, cid, label, n, sketch): the classes of every node with several components, dealt to cells.
 
     ``members`` has (node, cid, label, n, sketch). In a node the classes of its most frequent component need not meet
     one another: they lie in blocks of ``BLOCK``, the others in blocks of their own, and each block of others meets
@@ -155,23 +160,17 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             F.transform(others, lambda o: F.struct(F.greatest(o, "block").alias("i"), F.least(o, "block").alias("j"))),
         )
     )
-    placed = rows.select("node", "cid", "label", "n", "sketch", "block", F.explode(meets).alias("at")).select("*", "at.*").drop("at")
+    return rows.select("node", "cid", "label", "n", "sketch", "block", F.explode(meets).alias("at")).select("*", "at.*").drop("at")
+
+
+def by_cell(rows: DataFrame, compare: Callable[[pa.Table, np.ndarray, np.ndarray, bool], pa.RecordBatch], schema: str) -> DataFrame:
+    """``compare`` of each cell: its rows, those of its first and of its second block, and whether the two are one."""
     keys = ["node", "i", "j"]
-    sorted_rows = placed.repartition(*keys).sortWithinPartitions(*keys)
 
-    def compare(cells: list[pa.RecordBatch]) -> pa.RecordBatch:
-        cell = pa.Table.from_batches(cells).combine_chunks()
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cell = pa.Table.from_batches(parts).combine_chunks()
         i, j, block = (cell.column(c).to_numpy()[x] for c, x in (("i", slice(1)), ("j", slice(1)), ("block", slice(None))))
-        sketches, n = stacked(cell.column("sketch").to_pylist(), SKETCH), cell.column("n").to_numpy()
-        cids, labels = cell.column("cid").to_pylist(), cell.column("label").to_pylist()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            for y in right[_may_match(sketches[x], sketches[right], n[x], n[right], percent)]:
-                if labels[x] != labels[y] and (i[0] != j[0] or x < y):
-                    a.append(min(cids[x], cids[y]))
-                    b.append(max(cids[x], cids[y]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        return compare(cell, np.flatnonzero(block == i), np.flatnonzero(block == j), bool(i[0] == j[0]))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_cell: list[pa.RecordBatch] = []
@@ -184,24 +183,112 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             for start, end in zip(edges, edges[1:]):
                 key = tuple(of[start])
                 if open_cell and key != open_key:
-                    yield compare(open_cell)
+                    yield whole(open_cell)
                     open_cell = []
                 open_key = key
                 open_cell.append(part.slice(start, end - start))
         if open_cell:
-            yield compare(open_cell)
-
-    return sorted_rows.mapInArrow(batches, "a binary, b binary").distinct()
-
-
-def confirmed(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_id: str, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full shingle sets have a Jaccard similarity of ``percent`` or more.
-
-    ``reps`` has (cid, doc_id, t1, t2): a row of ``df`` for each class. Only sets of classes in a pair are built. Texts
+            yield whole(open_cell)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
+
+
+def _codes(labels: list[bytes]) -> np.ndarray:
+    return np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right``, all at once.
+
+    Shingles of many sets are columns of a matrix of zeros and ones, multiplied in pieces; of the others, each pair of
+    sets that holds one is counted."""
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    row = np.concatenate([np.full(len(v), at) for at, v in enumerate(sets)])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = {}
+    for name, rows in (("left", left), ("right", right)):
+        place[name] = np.full(len(sets), -1)
+        place[name][rows] = np.arange(len(rows))
+    common = np.flatnonzero(often > COMMON)
+    number = np.full(len(often), -1)
+    number[common] = np.arange(len(common))
+    for start in range(0, len(common), COLUMNS):
+        held = (number[column] >= start) & (number[column] < start + COLUMNS)
+        piece = np.zeros((len(sets), min(COLUMNS, len(common) - start)), dtype=np.float32)
+        piece[row[held], number[column[held]] - start] = 1
+        counts += piece[left] @ piece[right].T
+    rare = (often[column] > 1) & (often[column] <= COMMON)
+    row, column = row[rare], column[rare]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for shift in range(1, COMMON):  # the partners of a row are at most so many places further on
+        same = column[shift:] == column[:-shift]
+        if not same.any():
+            break
+        x, y = row[:-shift][same], row[shift:][same]
+        for p, q in ((x, y), (y, x)):
+            there = (place["left"][p] >= 0) & (place["right"][q] >= 0)
+            np.add.at(counts, (place["left"][p[there]], place["right"][q[there]]), 1)
+    return counts.astype(np.int64)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of links (a, b) that join all that the links join, fewer than two for each end: every component takes the
+    first link that leaves it, until none does."""
+    kept = np.zeros(0, dtype=np.int64)
+    if not len(a):
+        return kept
+    n = int(max(a.max(), b.max())) + 1
+    label = np.arange(n)
+    while (left := np.flatnonzero(label[a] != label[b])).size:
+        ends = np.concatenate([label[a[left]], label[b[left]]])
+        _, first = np.unique(ends, return_index=True)
+        kept = np.unique(np.concatenate([kept, left[first % len(left)]]))
+        label = spanning(a[kept], b[kept], n)
+    return kept
+
+
+def cross_links(members: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_id: str, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of classes of one node but different components: in each cell as many as it takes to join
+    the components that its links join."""
+
+    def partnered(cell: pa.Table, left: np.ndarray, right: np.ndarray, one: bool) -> pa.RecordBatch:
+        """The classes whose sketch allows a link with another component's in this cell."""
+        sketches, n = stacked(cell.column("sketch").to_pylist(), SKETCH), cell.column("n").to_numpy()
+        label, kept = _codes(cell.column("label").to_pylist()), np.zeros(cell.num_rows, dtype=bool)
+        for x in left:
+            passed = right[_may_match(sketches[x], sketches[right], n[x], n[right], percent)]
+            passed = passed[label[passed] != label[x]]
+            kept[passed] = True
+            kept[x] |= len(passed) > 0
+        table = cell.select(["node", "i", "j", "block", "cid", "label"]).filter(pa.array(kept)).combine_chunks()
+        return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+
+    near = written(by_cell(cells(members), partnered, "node long, i int, j int, block int, cid binary, label binary"))
+    sets = shingle_sets(near.select("cid").distinct(), reps, df, text, row_id)
+
+    def linked(cell: pa.Table, left: np.ndarray, right: np.ndarray, one: bool) -> pa.RecordBatch:
+        held = [np.frombuffer(v.as_buffer(), np.uint64) for v in cell.column("shingles").combine_chunks()]
+        cids, label = cell.column("cid").to_pylist(), _codes(cell.column("label").to_pylist())
+        n = np.array([len(v) for v in held])
+        common = intersections(held, left, right)
+        both = n[left][:, None] + n[right][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * both) & (label[left][:, None] != label[right][None, :]))
+        x, y = left[x], right[y]
+        joining = forest(label[x], label[y])
+        ends = [(min(cids[p], cids[q]), max(cids[p], cids[q])) for p, q in zip(x[joining], y[joining])]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return by_cell(skew_join(near, sets, ["cid"]), linked, "a binary, b binary").distinct()
+
+
+def shingle_sets(wanted: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_id: str) -> DataFrame:
+    """(cid, shingles) of the classes ``wanted`` (cid), stored.
+
+    ``reps`` has (cid, doc_id, t1, t2): a row of ``df`` for each class. Texts
     are sorted out in the scan by a broadcast of the buckets of their hash that are wanted, at most ``BUCKETS`` of
     them, and the rest meet the wanted rows exactly.
     """
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     places = written(wanted.join(reps, "cid")).select("cid", F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
     t1, t2 = hash_pair(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     texts = df.select(F.col(f"`{row_id}`").alias("_own"), t1.alias("t1"), t2.alias("t2"), F.col(f"`{text}`").alias("_text"))
@@ -217,7 +304,14 @@ def confirmed(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_i
             sets = [shingle_set(t.as_py(), hashes).tobytes() for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
-    sets = written(found.mapInArrow(build, "cid binary, shingles binary").dropDuplicates(["cid"]))
+    return written(found.mapInArrow(build, "cid binary, shingles binary").dropDuplicates(["cid"]))
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, row_id: str, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full shingle sets have a Jaccard similarity of ``percent`` or more. Only sets of classes
+    in a pair are built."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = shingle_sets(wanted, reps, df, text, row_id)
     right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("s_b")), "b")
     both = skew_join(right, sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s_a")), ["a"])
 
@@ -254,7 +348,7 @@ def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", percent: i
     links = written(confirmed(written(star_pairs(members, percent)), reps, df, text, row_id, percent))
     labels = components(links)
     named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    more = written(confirmed(written(cross_pairs(named, percent)), reps, df, text, row_id, percent))
+    more = written(cross_links(named, reps, df, text, row_id, percent))
 
     own = labels.withColumnRenamed("node", "cid")
     joined = more
@@ -279,10 +373,13 @@ def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", percent: i
 
 
 def without_near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
-    """One row of ``df`` for each group of near duplicates, with its columns as they are."""
-    kept = groups(df, text, row_id, **options).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    """One row of ``df`` for each group of near duplicates, with its columns as they are. Rows without words stay."""
+    kept = groups(df, text, row_id, **options).filter("kept and n_shingles > 0")
+    kept = kept.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
     t1, t2 = hash_pair(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = df.select(packed(df).alias("_row"), F.col(f"`{row_id}`").alias("_own"), t1.alias("t1"), t2.alias("t2"))
+    wordless = strip_spaces(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == ""
+    rows = df.select(packed(df).alias("_row"), F.col(f"`{row_id}`").alias("_own"), t1.alias("t1"), t2.alias("t2"), wordless.alias("_wordless"))
     same = Window.partitionBy("t1", "t2", "_own").orderBy(F.lit(0))
     on = (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & F.col("_own").eqNullSafe(F.col("_doc"))
-    return rows.withColumn("_n", F.row_number().over(same)).filter("_n = 1").join(kept, on, "left_semi").select("_row.*")
+    one = rows.filter(~F.col("_wordless")).withColumn("_n", F.row_number().over(same)).filter("_n = 1").join(kept, on, "left_semi")
+    return one.select("_row.*").unionByName(rows.filter("_wordless").select("_row.*"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -264,6 +265,60 @@ def test_near_duplicates(spark, leaf):
     assert set(per_group.values()) == {1}
 
 
+def test_intersections_of_a_cell():
+    pick = np.random.default_rng(0)
+    base = pick.integers(0, 2**62, 300).astype(np.uint64)
+    for one in (True, False):
+        sets = [np.unique(np.concatenate([pick.choice(base, pick.integers(1, 300), replace=False), pick.integers(0, 60, 9).astype(np.uint64)])) for _ in range(120)]
+        left = np.arange(0, 120, 1 if one else 2)
+        right = left if one else np.arange(1, 120, 2)
+        counts = near_dup.intersections(sets, left, right)
+        want = [[len(np.intersect1d(sets[a], sets[b])) if a != b else counts[i, j] for j, b in enumerate(right)] for i, a in enumerate(left)]
+        assert (counts == np.array(want)).all()
+
+
+def exact_groups(texts, percent):
+    """Groups of all texts by an exact join: two sets that link share one of the first shingles in an order by rarity."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").encode().lower().split()) else set() for t in texts]
+    often = Counter(s for own in sets for s in own)
+    parent, seen = list(range(len(texts))), defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in sorted(range(len(texts)), key=lambda i: len(sets[i])):
+        own = sorted(sets[i], key=lambda s: (often[s], s))
+        first = own[: len(own) - -(-percent * len(own) // 100) + 1] if own else []
+        for j in {j for s in first for j in seen[s]}:
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+        for s in first:
+            seen[s].append(i)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_miss_no_link_of_the_table(spark, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = sorted(map(tuple, docs.collect()))
+    label, smallest = exact_groups([t for _, t in rows], percent), {}
+    for (i, _), g in zip(rows, label):
+        smallest.setdefault(g, i)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(docs, percent=percent).collect()}
+    assert got == {i: smallest[g] for (i, _), g in zip(rows, label)}
+
+
+def test_near_duplicates_below_the_threshold_are_no_pair_rows(spark):
+    """300 texts of one passage, all pairs a little below the threshold: they meet in one dense node and do not link."""
+    passage = [f"t{k}" for k in range(200)]
+    texts = [" ".join(w if (k + 3 * i) % 28 else f"m{i}x{k}" for k, w in enumerate(passage)) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = groups_by_hand(list(enumerate(texts)))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.groups(df, leaf=8).collect()) == want
+
+
 def test_near_duplicates_at_eighty_percent(spark):
     """Pairs of similarity 0.82, which the pipeline's stage has to link."""
     rows = [(2 * k + b, " ".join(f"p{k}q{i}" for i in range(86 if b else 104)), "en", "s", 0) for k in range(60) for b in (0, 1)]
@@ -279,3 +334,14 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     left = near_dup.without_near_duplicates(odd)
     assert left.columns == odd.columns and left.filter(F.col("text") == LONG).count() == 1
     assert near_dup.groups(none).count() == 0
+
+
+def test_forest_joins_what_the_links_join():
+    pick = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = pick.integers(0, 60, 300), pick.integers(0, 60, 300)
+        a, b = a[a != b], b[a != b]
+        kept = near_dup.forest(a, b)
+        whole, small = near_dup.spanning(a, b, 60), near_dup.spanning(a[kept], b[kept], 60)
+        assert (whole == small).all() and len(kept) < 2 * 60
+    assert len(near_dup.forest(np.zeros(0, int), np.zeros(0, int))) == 0
