@@ -169,3 +169,24 @@ def test_judged_corpus_keeps_columns(spark, frames):
     qrels = spark.createDataFrame([("q", "d001"), ("q2", "d001")], "qid string, docid string")
     kept = judged_corpus(docs, qrels)
     assert kept.columns == docs.columns and kept.count() == 1
+
+
+def partitions_of_documents(run):
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    return [int(n) for n in re.findall(r"hashpartitioning\(docid#\d+, dl#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+
+
+def test_a_joined_word_meets_its_queries_in_parts(frames, monkeypatch):
+    """No task has all documents of a frequent word, neither when the vocabulary is joined nor when its weights are."""
+    docs, queries = frames
+    for name, value in {"TASK_SUMS": 10, "TASK_ROWS": 20, "TASK_DOCS": 16}.items():
+        monkeypatch.setattr(lexical, name, value, raising=False)
+    split = []
+    heavy = lexical.split_heavy
+    monkeypatch.setattr(lexical, "split_heavy", lambda *a: split.append(heavy(*a).cache()) or split[-1])
+    run = bm25_search(queries, docs, 200, broadcast_bytes=0)
+    assert ordered(run) == brute_bm25(QUERIES, DOCS, 200) and set(partitions_of_documents(run)) == {24}
+    sizes = split[0].filter("term = 'the'").groupBy("part").count().collect()
+    assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 45
+    monkeypatch.setattr(lexical, "fits_broadcast", lambda *a: False)
+    assert ordered(lexical.search(build_index(docs), queries, 200)) == brute_bm25(QUERIES, DOCS, 200)
