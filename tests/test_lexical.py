@@ -190,3 +190,13 @@ def test_a_joined_word_meets_its_queries_in_parts(frames, monkeypatch):
     assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 45
     monkeypatch.setattr(lexical, "fits_broadcast", lambda *a: False)
     assert ordered(lexical.search(build_index(docs), queries, 200)) == brute_bm25(QUERIES, DOCS, 200)
+
+
+def test_lists_are_gathered_from_rows_and_counted_once(frames, monkeypatch):
+    docs, _ = frames
+    monkeypatch.setattr(lexical, "TASK_ROWS", 20, raising=False)
+    rows = postings(doc_tokens(docs))
+    plan = inverted_index(rows, max_list=10)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan
+    dealt = re.search(r"hashpartitioning\(term#\d+, part#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert int(dealt.group(1)) >= rows.count() / 20 and plan.count("hashpartitioning(term") == 1
