@@ -200,3 +200,12 @@ def test_lists_are_gathered_from_rows_and_counted_once(frames, monkeypatch):
     assert "split(" not in plan
     dealt = re.search(r"hashpartitioning\(term#\d+, part#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
     assert int(dealt.group(1)) >= rows.count() / 20 and plan.count("hashpartitioning(term") == 1
+
+
+def test_bounded_search_reads_only_postings_of_its_words(frames, monkeypatch):
+    docs, queries = frames
+    index, kept, plain = build_index(docs), [], lexical.stored
+    monkeypatch.setattr(lexical, "stored", lambda df: kept.append(plain(df)) or kept[-1])
+    assert ordered(lexical.bounded_search(index, queries, 5)) == brute_bm25(QUERIES, DOCS, 5)
+    words = {w.lower() for q in QUERIES.values() for w in q.split()}
+    assert {r["term"] for r in kept[0].select("term").distinct().collect()} <= words and len(kept) == 1
