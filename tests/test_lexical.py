@@ -176,6 +176,15 @@ def partitions_of_documents(run):
     return [int(n) for n in re.findall(r"hashpartitioning\(docid#\d+, dl#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
 
 
+def test_scores_are_dealt_over_tasks_by_their_number(frames, monkeypatch):
+    """60 documents and 4 queries: 240 scores at most, 10 of them a task, whatever the corpus measures in bytes."""
+    docs, queries = frames
+    monkeypatch.setattr(lexical, "TASK_SUMS", 10, raising=False)
+    for run in (bm25_search(queries, docs, 200), lexical.search(build_index(docs), queries, 200)):
+        assert partitions_of_documents(run) and set(partitions_of_documents(run)) == {24}
+        assert ordered(run) == brute_bm25(QUERIES, DOCS, 200)
+
+
 def test_a_joined_word_meets_its_queries_in_parts(frames, monkeypatch):
     """No task has all documents of a frequent word, neither when the vocabulary is joined nor when its weights are."""
     docs, queries = frames
